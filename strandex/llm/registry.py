@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from strandex.llm import mixing
+from strandex.llm import mixing, telephony, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op3_telephony_media": telephony.op3_telephony_media,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op10_warc_zip": warc_zip.op10_warc_zip,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_source_mixing": mixing.ORACLE}
+    return {"op4_source_mixing": mixing.ORACLE, "op10_warc_zip": warc_zip.ORACLE}
