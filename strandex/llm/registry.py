@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandex.llm import mixing, telephony, warc_zip
+from strandex.llm import mixing, quality, telephony, warc_zip
 
 
 def queries() -> dict:
     return {
         "op3_telephony_media": telephony.op3_telephony_media,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_quality_llr": quality.op5_quality_llr,
         "op10_warc_zip": warc_zip.op10_warc_zip,
     }
 
