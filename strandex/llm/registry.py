@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandex.llm import mixing, quality, telephony, warc_zip
+from strandex.llm import mixing, near_dup, quality, telephony, warc_zip
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_telephony_media": telephony.op3_telephony_media,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_llr": quality.op5_quality_llr,
+        "op8_lsh_forest": near_dup.op8_lsh_forest,
         "op10_warc_zip": warc_zip.op10_warc_zip,
     }
 
