@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandex.llm import mixing, near_dup, quality, telephony, warc_zip
+from strandex.llm import mixing, near_dup, packing, quality, telephony, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_swap_packing": packing.op1_swap_packing,
         "op3_telephony_media": telephony.op3_telephony_media,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_llr": quality.op5_quality_llr,
