@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandex.llm import mixing, near_dup, packing, quality, telephony, warc_zip
+from strandex.llm import line_spread, mixing, near_dup, packing, quality, telephony, warc_zip
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_telephony_media": telephony.op3_telephony_media,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_llr": quality.op5_quality_llr,
+        "op6_line_spread": line_spread.op6_line_spread,
         "op8_lsh_forest": near_dup.op8_lsh_forest,
         "op10_warc_zip": warc_zip.op10_warc_zip,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_source_mixing": mixing.ORACLE, "op10_warc_zip": warc_zip.ORACLE}
+    return {"op4_source_mixing": mixing.ORACLE, "op6_line_spread": line_spread.ORACLE, "op10_warc_zip": warc_zip.ORACLE}
