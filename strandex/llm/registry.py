@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandex.llm import line_spread, mixing, near_dup, packing, quality, telephony, warc_zip
+from strandex.llm import line_spread, mixing, near_dup, packing, pii, quality, telephony, toxicity, warc_zip
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_llr": quality.op5_quality_llr,
         "op6_line_spread": line_spread.op6_line_spread,
+        "op7_toxic_lexicon": toxicity.op7_toxic_lexicon,
         "op8_lsh_forest": near_dup.op8_lsh_forest,
+        "op9_bilstm_crf_pii": pii.op9_bilstm_crf_pii,
         "op10_warc_zip": warc_zip.op10_warc_zip,
     }
 
