@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandex.llm import line_spread, mixing, near_dup, packing, pii, quality, telephony, toxicity, warc_zip
+from strandex.llm import line_spread, lm_score, mixing, near_dup, packing, pii, quality, telephony, toxicity, warc_zip
 
 
 def queries() -> dict:
     return {
         "op1_swap_packing": packing.op1_swap_packing,
+        "op2_attention_lm": lm_score.op2_attention_lm,
         "op3_telephony_media": telephony.op3_telephony_media,
         "op4_source_mixing": mixing.op4_source_mixing,
         "op5_quality_llr": quality.op5_quality_llr,
