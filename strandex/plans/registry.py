@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("library",)
+MODULES: tuple[str, ...] = ("library", "ranking")
 
 
 def _gather(what: str) -> dict:
