@@ -94,11 +94,9 @@ def contains_any(columns: Iterable[Column], raw: str) -> Column:
 
 def phrase_in(words: Column, phrase: list[str]) -> Column:
     """Whether ``phrase`` occurs as neighbouring words."""
-    n = len(phrase)
-    if n == 1:
+    if len(phrase) == 1:
         return F.array_contains(words, phrase[0])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.exists(starts, lambda i: F.slice(words, i, n) == F.array(*[F.lit(w) for w in phrase]))
+    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
 
 def iso_utc(ts: Column) -> Column:

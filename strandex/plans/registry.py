@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("library", "ranking")
+MODULES: tuple[str, ...] = ("library", "ranking", "scoring")
 
 
 def _gather(what: str) -> dict:
