@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("library", "ranking", "scoring")
+MODULES: tuple[str, ...] = ("library", "ranking", "scoring", "studies")
 
 
 def _gather(what: str) -> dict:
