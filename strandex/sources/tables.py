@@ -14,7 +14,7 @@ def _checked(rows: DataFrame, ids: tuple[str, str], tags: str) -> DataFrame:
     bad = ~((F.col(ids[0]) > 0) & (F.col(ids[1]) > 0) & F.col("rating").between(0, 3))
     what = F.concat(F.lit("bad label: "), F.to_json(F.struct(*rows.columns)))
     ok = rows.withColumn("rating", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(what).cast("int")).otherwise(F.col("rating")))
-    split = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), F.trim), lambda t: t != "")
+    split = F.filter(F.transform(F.split(F.coalesce(tags, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     return ok.withColumn(tags, split).withColumn("source", F.coalesce("source", F.lit("manual")))
 
 
