@@ -9,10 +9,13 @@
    value deeper, and again, while there are values (adaptive depth). Each class is paired with the
    first class of its deepest region, and that one with the first of the region around it.
 3. Pairs are confirmed on the full shingle sets, and links are closed to components.
-4. Regions that still hold several components are searched again: each class with its neighbours of
-   another component in the sorted order, in windows that grow eightfold until they cover the largest
-   region. Pairs already tested are left out. So every pair that shares a prefix in some tree is
-   either confirmed, refuted, or already in one component; nothing is capped.
+4. Regions that still hold several components are searched again: each class with its nearest
+   neighbours of another component in the sorted order.
+5. What is left goes to an exact pass: regions that still hold several components are dealt into
+   blocks, and blocks are compared two by two, so no region is ever in one task. A pair is taken up in
+   the first tree whose region it shares, unless the estimate from ``WIDE`` further hashes is
+   ``SIGMAS`` standard deviations below the threshold. So every pair that shares a region is either
+   confirmed, refuted, or already in one component; nothing is capped.
 
 A pair at the threshold shares a prefix in at least one of the 20 trees with a chance of
 1 - (1 - s^4)^20: 0.9999996 at 0.85 and 0.99997 at 0.8; closer pairs are surer.
@@ -26,6 +29,7 @@ extra columns never matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -42,10 +46,13 @@ FULL_DEPTH = 8
 LEAF = 32
 HASHES = TREES * BASE_DEPTH
 ROWS_A_TASK = 400_000
-#: Signatures this far below the threshold (in standard deviations) rule a pair out before its sets are fetched.
-SIGMAS = 5.0
+WIDE = 1024
+SIGMAS = 4.5
+WINDOW = 8
+BLOCK = 2_000
 
 _ODD = random_words(HASHES, 7) | np.uint64(1)
+_WIDE_ODD = random_words(WIDE, 23) | np.uint64(1)
 _JOIN = np.uint64(0x9FB21C651E98DF25)
 _SALT = random_words(64, 11)
 
@@ -90,6 +97,14 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, WIDE) 8-bit MinHash values, for estimates of the similarity of single pairs; no set is empty."""
+    out = np.empty((len(first) - 1, WIDE), np.uint8)
+    for j in range(WIDE if len(first) > 1 else 0):
+        out[:, j] = np.minimum.reduceat(sets * _WIDE_ODD[j], first[:-1]) >> np.uint64(20) & np.uint64(0xFF)
+    return out
+
+
 def set_keys(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit values that depend on the set alone."""
     keys = []
@@ -115,10 +130,10 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: st
     return docs.select(F.col(doc_id).alias("doc_id"), prints(F.col(text)).alias("p")).select("doc_id", "p.*")
 
 
-ENTRIES = "tree int, k1 long, k2 long, cid long, n long, comp long, sig binary"
+ENTRIES = "tree int, k1 long, k2 long, cid long, n long, comp long"
 
 
-def tree_entries(classes: DataFrame, with_sig: bool) -> DataFrame:
+def tree_entries(classes: DataFrame) -> DataFrame:
     """One row per class and tree: the first four values of the tree's order, the next four, the class."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +142,7 @@ def tree_entries(classes: DataFrame, with_sig: bool) -> DataFrame:
             for t in range(TREES):
                 order = (np.arange(FULL_DEPTH) + t * BASE_DEPTH) % HASHES
                 key = np.ascontiguousarray(sig[:, order].astype(">u2")).view(">i8").astype(np.int64)
-                yield pd.DataFrame({"tree": np.int32(t), "k1": key[:, 0], "k2": key[:, 1], "cid": batch["cid"], "n": batch["n"], "comp": batch["comp"], "sig": batch["sig"] if with_sig else None})
+                yield pd.DataFrame({"tree": np.int32(t), "k1": key[:, 0], "k2": key[:, 1], "cid": batch["cid"], "n": batch["n"], "comp": batch["comp"]})
 
     return classes.select("cid", "n", "comp", "sig").mapInPandas(expand, ENTRIES)
 
@@ -191,61 +206,70 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out(2, np.flatnonzero(border & (cid == low)), low)
 
 
-PAIRS = "kind int, a long, b long, tree int, k1 long, k2 long, cid long, n long, comp long, sig binary"
+def _worth(left: pd.DataFrame, right: pd.DataFrame, i: np.ndarray, j: np.ndarray, sigs: tuple, wides: tuple, tree: int, percent: int) -> np.ndarray:
+    """Which of the pairs (i of left, j of right) should be confirmed in this tree."""
+    n1, n2 = left["n"].to_numpy()[i], right["n"].to_numpy()[j]
+    ok = (left["comp"].to_numpy()[i] != right["comp"].to_numpy()[j]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+    s = percent / 100
+    for hashes in (WIDE // 16, WIDE // 4, WIDE):
+        at = np.flatnonzero(ok)
+        share = (wides[0][i[at], :hashes] == wides[1][j[at], :hashes]).mean(axis=1)
+        ok[at] = share >= s - SIGMAS * (s * (1 - s) / hashes) ** 0.5
+    at = np.flatnonzero(ok)
+    ok[at] = (sigs[0][i[at]] == sigs[1][j[at]]).argmax(axis=1) == tree  # the first shared region
+    return ok
 
 
-def _near(n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of all trees, one word each, and the wide signatures."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows), TREES)
+    return sig, np.frombuffer(b"".join(rows["wide"]), np.uint8).reshape(len(rows), WIDE)
 
 
-def _window_pairs(rows: pd.DataFrame, window: int, percent: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes up to ``window`` apart in one region and in different components."""
-    tree, k1, cid, n, comp = (rows[c].to_numpy() for c in ("tree", "k1", "cid", "n", "comp"))
-    new = _runs(tree, k1)
-    region = np.cumsum(new) - 1
-    counts = np.bincount(region)
-    mixed = np.maximum.reduceat(comp, np.flatnonzero(new)) != np.minimum.reduceat(comp, np.flatnonzero(new))
-    keep = mixed[region]
-    if not keep.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    sig = np.frombuffer(b"".join(rows["sig"][keep]), np.uint16).reshape(-1, HASHES)
-    region, cid, n, comp = region[keep], cid[keep], n[keep], comp[keep]
-    left, right = [], []
-    for s in range(1, min(window, int(counts[mixed].max()) - 1) + 1):
-        at = np.flatnonzero((region[s:] == region[:-s]) & (comp[s:] != comp[:-s]) & _near(n[s:], n[:-s], percent))
-        at = at[(sig[at] == sig[at + s]).mean(axis=1) >= floor]
-        left.append(cid[at])
-        right.append(cid[at + s])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _pair_frame(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    frame = pd.DataFrame({"kind": np.int32(0), "a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-    return frame.assign(tree=np.int32(0), k1=np.int64(0), k2=np.int64(0), cid=np.int64(0), n=np.int64(0), comp=np.int64(0), sig=None)
-
-
-def _neighbours(window: int, percent: int, floor: float):
+def _found(left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+
+def _neighbours(percent: int):
+    """Pairs up to ``WINDOW`` apart in one region, from sorted runs of entries."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if not held:
             return
         rows = pd.concat(held, ignore_index=True)
-        yield _pair_frame(*_window_pairs(rows, window, percent, floor))
-        # rows near the ends of the run, where a region may go on in another task
-        key = rows["tree"].to_numpy(), rows["k1"].to_numpy()
-        first = (key[0] == key[0][0]) & (key[1] == key[1][0])
-        last = (key[0] == key[0][-1]) & (key[1] == key[1][-1])
-        at = np.arange(len(rows))
-        edge = rows[(first & (at < window)) | (last & (at >= len(rows) - window))]
-        yield edge.assign(kind=np.int32(1), a=np.int64(0), b=np.int64(0))[[c.split(" ")[0] for c in PAIRS.split(", ")]]
+        sig, wide = _arrays(rows)
+        tree = rows["tree"].to_numpy()
+        region = np.cumsum(_runs(tree, rows["k1"].to_numpy()))
+        cid = rows["cid"].to_numpy()
+        for gap in range(1, WINDOW + 1):
+            at = np.flatnonzero(region[gap:] == region[:-gap])
+            for t in np.unique(tree[at]):
+                own = at[tree[at] == t]
+                ok = own[_worth(rows, rows, own, own + gap, (sig, sig), (wide, wide), t, percent)]
+                if len(ok):
+                    yield _found(cid[ok], cid[ok + gap])
 
     return scan
 
 
-def _region_neighbours(window: int, percent: int, floor: float):
+def _block_pairs(percent: int):
+    """All pairs worth confirming between two blocks of a region, or within one."""
+
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _window_pairs(rows.sort_values(["k2", "cid"], ignore_index=True), window, percent, floor)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        lo, hi, tree = (int(rows[c].iloc[0]) for c in ("lo", "hi", "tree"))
+        left = rows[rows["block"] == lo].reset_index(drop=True)
+        right = left if lo == hi else rows[rows["block"] == hi].reset_index(drop=True)
+        if left["comp"].nunique() == 1 and set(left["comp"].unique()) == set(right["comp"].unique()):
+            return _found(np.empty(0, np.int64), np.empty(0, np.int64))
+        (s1, w1), (s2, w2) = _arrays(left), _arrays(right)
+        a, b = [], []
+        for i in range(len(left)):
+            j = np.arange(i + 1 if lo == hi else 0, len(right))
+            ok = j[_worth(left, right, np.full(len(j), i), j, (s1, s2), (w1, w2), tree, percent)]
+            a.append(np.full(len(ok), left["cid"].iloc[i], np.int64))
+            b.append(right["cid"].to_numpy()[ok])
+        return _found(np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)]))
 
     return pairs
 
@@ -269,6 +293,23 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(linked("left", "right")).select("a", "b")
 
 
+@contextmanager
+def _small_batches(spark, rows: int = 1_000):
+    """Arrow batches of few rows, since a row here may hold two full shingle sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    with _small_batches(pairs.sparkSession):
+        return stage(_confirm(pairs, sets, percent), "ndlinks")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -291,11 +332,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
 
 def _class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame | None:
     """(cid, comp) of the classes that are linked with another one; None where there are none."""
-    s = percent / 100
-    floor = s - SIGMAS * (s * (1 - s) / HASHES) ** 0.5
     rows = classes.count() * TREES
     own = classes.withColumn("comp", F.col("cid"))
-    regions = stage(in_order(tree_entries(own, False), rows).mapInPandas(_leaders, REGION_ROWS), "ndregions")
+    regions = stage(in_order(tree_entries(own), rows).mapInPandas(_leaders, REGION_ROWS), "ndregions")
     borders = regions.where("kind = 2")
     meet = borders.groupBy("tree", "k1").agg(F.min("cid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     meet = borders.join(meet, ["tree", "k1"]).where("cid <> m").join(classes.select(F.col("cid").alias("m"), F.col("n").alias("m_n")), "m")
@@ -303,56 +342,55 @@ def _class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent
     tied = tied.unionAll(meet.select(F.least("cid", "m").alias("a"), F.greatest("cid", "m").alias("b"), "n", F.col("m_n").alias("o")))
     tied = stage(tied.distinct(), "ndtied")
     involved = stage(tied.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ndinvolved")
-    n_involved = involved.count()
-    if not n_involved:
+    if involved.isEmpty():
         return None
-    sets = stage(_sets_of(docs, classes.join(involved, "cid"), shingle, doc_id, text), "ndsets")
+    some = classes.join(involved, "cid")
+    sets = stage(_sets_of(docs, some, shingle, doc_id, text), "ndsets")
     pairs = tied.where(100 * F.least("n", "o") >= percent * F.greatest("n", "o")).select("a", "b")
     tested = stage(pairs.distinct(), "ndtested")
-    links = stage(_confirm(tested, sets, percent), "ndlinks")
-    labels = stage(connected_components(links, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("comp")), "ndlabels")
-
-    some = classes.join(involved, "cid").select("cid", "n", "sig")
-    window = 8
-    while True:
-        now = some.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        entries = tree_entries(now, False).drop("sig")
-        mixed = entries.groupBy("tree", "k1").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi")
-        mixed = stage(mixed.select("tree", "k1", "members"), "ndmixed")
-        widest = mixed.agg(F.max("members")).first()[0]
-        if widest is None:
-            break
-        active = stage(entries.join(mixed.drop("members"), ["tree", "k1"]).join(classes.select("cid", "sig"), "cid").select("tree", "k1", "k2", "cid", "n", "comp", "sig"), "ndactive")
-        found = stage(in_order(active, active.count()).mapInPandas(_neighbours(window, percent, floor), PAIRS), "ndfound")
-        edge = found.where("kind = 1").select("tree", "k1", "k2", "cid", "n", "comp", "sig")
-        across = edge.groupBy("tree", "k1").applyInPandas(_region_neighbours(window, percent, floor), "a long, b long")
-        fresh_pairs = found.where("kind = 0").select("a", "b").unionAll(across).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh_pairs = stage(fresh_pairs, "ndpairs")
-        more = stage(_confirm(fresh_pairs, sets, percent), "ndlinks")
-        tested = tested.unionAll(fresh_pairs)
-        if not more.isEmpty():
-            # close the new links over the components they join
-            at = now.select("cid", "comp")
-            joined = more.join(at.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b")
-            merged = connected_components(joined, "ca", "cb")
-            changed = at.join(merged, F.col("comp") == F.col("node"), "left").select("cid", F.coalesce("component", "comp").alias("comp"))
-            labels = stage(_linked_only(changed, labels, more), "ndlabels")
-        if window >= widest - 1:
-            if more.isEmpty():
-                break
-        else:
-            window *= 8
-    return labels
-
-
-def _linked_only(now: DataFrame, before: DataFrame, more: DataFrame) -> DataFrame:
-    """Labels of the classes that have any link so far."""
-    linked = before.select("cid").unionAll(more.select(F.explode(F.array("a", "b")).alias("cid"))).distinct()
-    return now.join(linked, "cid")
+    links = _links(tested, sets, percent)
+    now = _relabel(some.select("cid", "n", "sig", F.col("cid").alias("comp")), links)
+
+    near = _mixed_regions(now, sets)
+    if near is not None:
+        found = stage(in_order(near.drop("members"), near.count()).mapInPandas(_neighbours(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "ndnear")
+        now = _relabel(now, _links(found, sets, percent))
+        tested = tested.unionAll(found)
+        rest = _mixed_regions(now, sets)
+        if rest is not None:
+            blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+            dealt = rest.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            dealt = dealt.select("tree", "k1", "cid", "n", "comp", "sig", "wide", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+            found = stage(dealt.groupBy("tree", "k1", "lo", "hi").applyInPandas(_block_pairs(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "ndrest")
+            now = _relabel(now, _links(found, sets, percent))
+    sizes = now.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return now.join(sizes, "comp").select("cid", "comp")
+
+
+def _relabel(now: DataFrame, links: DataFrame) -> DataFrame:
+    """``now`` with components closed over further links between classes."""
+    if links.isEmpty():
+        return now
+    at = now.select("cid", "comp")
+    joined = links.join(at.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a").join(at.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = connected_components(joined, "ca", "cb")
+    return stage(now.join(merged, F.col("comp") == F.col("node"), "left").select("cid", "n", "sig", F.coalesce("component", "comp").alias("comp")), "ndnow")
+
+
+def _mixed_regions(now: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Entries, with signatures, of the regions that hold several components; None where there are none."""
+    entries = tree_entries(now)
+    mixed = entries.groupBy("tree", "k1").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
+    mixed = stage(mixed.where("low < high").select("tree", "k1", "members"), "ndmixed")
+    if mixed.isEmpty():
+        return None
+    rows = entries.join(mixed, ["tree", "k1"]).join(now.select("cid", "sig"), "cid").join(sets.select("cid", "wide"), "cid")
+    return stage(rows.select("tree", "k1", "k2", "cid", "n", "comp", "sig", "wide", "members"), "ndactive")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(cid, members): the full shingle set of each wanted class, from a row with its smallest id."""
+    """(cid, members, wide): the full shingle set of each wanted class, from a row with its smallest id."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -360,13 +398,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text
                 rows = batch.iloc[start : start + len(raws)]
                 sets, first = shingle_sets(raws, shingle)
                 a, b = set_keys(sets, first)
+                wide = wide_signatures(sets, first)
                 right = np.flatnonzero((a == rows["a"].to_numpy()) & (b == rows["b"].to_numpy()))
-                yield pd.DataFrame({"cid": rows["cid"].to_numpy()[right], "members": [sets[first[i] : first[i + 1]].tobytes() for i in right]})
+                yield pd.DataFrame({"cid": rows["cid"].to_numpy()[right], "members": [sets[first[i] : first[i + 1]].tobytes() for i in right], "wide": [wide[i].tobytes() for i in right]})
 
     ids = wanted.select("first_doc", "a", "b", "cid")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("first_doc")))
-    made = rows.select("text", "a", "b", "cid").mapInPandas(make, "cid long, members binary")
-    return made.groupBy("cid").agg(F.first("members").alias("members"))
+    made = rows.select("text", "a", "b", "cid").mapInPandas(make, "cid long, members binary, wide binary")
+    return made.groupBy("cid").agg(F.first("members").alias("members"), F.first("wide").alias("wide"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
