@@ -15,7 +15,6 @@ are ignored.
 from __future__ import annotations
 
 import base64
-import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -125,6 +124,10 @@ class Exchange:
         self.double: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         self.most1 = np.full(capacity + 1, -1)
         self.most2 = np.full(capacity + 1, -1)
+        # all underfull bins by free space; the frees in use are one integer's bits
+        self.steps = 0
+        self.by_free: dict[int, set[int]] = defaultdict(set)
+        self.frees = 0
         for b in self.bins:
             if self.fill[b] < capacity:
                 self._register(b, True)
@@ -137,6 +140,8 @@ class Exchange:
         free = self.capacity - self.fill[b]
         if not free or not self.bins[b]:
             return
+        (self.by_free[free].add if add else self.by_free[free].discard)(b)
+        self.frees = self.frees | 1 << free if self.by_free[free] else self.frees & ~(1 << free)
         for table, most, sums in zip((self.single, self.double), (self.most1, self.most2), self._sums(b), strict=True):
             for s in sums:
                 if add:
@@ -167,6 +172,7 @@ class Exchange:
         return next([i, j] for n, i in enumerate(items) for j in items[n + 1 :] if self.lengths[i] + self.lengths[j] == total)
 
     def _swap(self, a: int, out_of_a: list[int], b: int, out_of_b: list[int]) -> None:
+        self.steps += 1
         for x in (a, b):
             self._register(x, False)
         for x, gone, come in ((a, out_of_a, out_of_b), (b, out_of_b, out_of_a)):
@@ -178,10 +184,10 @@ class Exchange:
     def _step(self, source: int) -> bool:
         """Move or exchange something of ``source`` so that another bin gets fuller."""
         items = sorted(self.bins[source], key=lambda i: -self.lengths[i])
-        for i in items:  # a plain move
-            free = [f for f in self._frees(source) if f >= self.lengths[i]]
-            if free:
-                self._swap(source, [i], self._bin_with(min(free), source), [])
+        for i in items:  # a plain move, to the bin it fills best
+            b = self._room(self.lengths[i], source)
+            if b is not None:
+                self._swap(source, [i], b, [])
                 return True
         offers = [([i], self.lengths[i]) for i in items]
         offers += [([i, j], self.lengths[i] + self.lengths[j]) for n, i in enumerate(items) for j in items[n + 1 :] if self.lengths[i] + self.lengths[j] <= self.capacity]
@@ -199,29 +205,37 @@ class Exchange:
         self._swap(source, give, b, self._pick(b, wanted, count))
         return True
 
-    def _frees(self, source: int) -> set[int]:
-        return {f for b, f in self.open.items() if b != source}
+    def _room(self, length: int, source: int) -> int | None:
+        """The fullest bin with room for ``length``, if the move raises the sum of squared fills."""
+        fits = self.frees >> length
+        free = length - 1
+        while fits:
+            step = (fits & -fits).bit_length()
+            free += step
+            if self.capacity - free + length <= self.fill[source]:
+                return None
+            for b in self.by_free[free]:
+                if b != source:
+                    return b
+            fits >>= step
+        return None
 
-    def _bin_with(self, free: int, source: int) -> int:
-        return next(b for b, f in self.open.items() if f == free and b != source)
+    def _pass(self, left: int, lowest: int) -> int:
+        """Try to empty every underfull bin once, the emptiest first; returns the bins left."""
+        for _, source in sorted((self.fill[b], b) for b in self.bins if self.bins[b] and self.fill[b] < self.capacity):
+            if left <= lowest:
+                break
+            while self.bins[source] and self.fill[source] < self.capacity and self._step(source):
+                pass
+            left -= not self.bins[source]
+        return left
 
     def run(self, lowest: int) -> list[list[int]]:
         """Until no bin can be emptied any further, or only ``lowest`` bins (a bound) are left."""
-        order = sorted((self.fill[b], b) for b in self.bins if self.fill[b] < self.capacity)
-        left = len(self.bins)
-        while order and left > lowest:
-            _, source = order.pop(0)
-            if self.fill[source] >= self.capacity or not self.bins[source]:
-                continue
-            while self.bins[source]:
-                # bins with room, a few of the emptiest apart from the source, for plain moves
-                self.open = {b: self.capacity - f for f, b in ((self.fill[b], b) for _, b in order[:64]) if self.bins[b]}
-                if not self._step(source):
-                    break
-            if not self.bins[source]:
-                left -= 1
-            elif self.fill[source] < self.capacity and order and self.fill[source] > order[0][0]:
-                bisect.insort(order, (self.fill[source], source))
+        left, before = len(self.bins), -1
+        while left > lowest and self.steps != before:
+            before = self.steps
+            left = self._pass(left, lowest)
         return [items for items in self.bins.values() if items]
 
 
