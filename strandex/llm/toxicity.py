@@ -48,8 +48,7 @@ _FOLD |= {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
 _FOLD |= dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _FOLD))) + "]")
 _SIGN = str.maketrans(SIGNS, LETTER_FOR)
-_SIGNED = re.compile(r"(?<![\w@$])[013457@$8]*[^\W\d_][\w@$]*")
-_WITH_SIGN = re.compile(r"[0134578@$](?=[^\W\d_])|(?<=[^\W\d_])[0134578](?![\w.@])")
+_WITH_SIGN = re.compile(r"[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![\w.@])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
