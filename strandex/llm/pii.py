@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandex.llm.sample import hash_sample
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # other, then begin and inside of each kind
 WIDTH, STRIDE, MARGIN = 96, 64, 24
@@ -432,11 +434,11 @@ def train_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_do
     """
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts = [t for batch in batches for t in batch["text"]]
+        texts = sorted(t for batch in batches for t in batch["value"])
         yield pd.DataFrame({"params": [pickle.dumps(train(texts).params)]})
 
-    able = docs.select(F.col(text).alias("text")).where(F.col("text").rlike(r"@|[0-9][ ().0-9-]{7}"))
-    sample = able.orderBy(F.xxhash64("text"), "text").limit(max_docs)
+    able = docs.where(F.col(text).rlike(r"@|[0-9][ ().0-9-]{7}"))
+    sample = hash_sample(able, F.xxhash64(text), F.col(text), max_docs)
     trained = sample.mapInPandas(fit, "params binary").collect()
     return Model(pickle.loads(trained[0].params) if trained else None)
 
