@@ -106,7 +106,11 @@ PRED = "pred AS (SELECT doc_id, source, least(1.0::DOUBLE, n_chars / 20000) AS p
 
 
 def sources(spark, sf):
-    """Three rankings of the nearest 20 vectors for each of a few seeds, by whole and half vectors."""
+    """Three rankings of the nearest 20 vectors for every seed (ids divisible by 50), by whole and half vectors.
+
+    The seeds grow with the table, so the planner broadcasts them only below its size limit and else
+    compares block by block.
+    """
     from strandex.operators import vectors
 
     e = embeddings(spark, sf)
@@ -114,8 +118,8 @@ def sources(spark, sf):
     parts = []
     for name, v in halves.items():
         own = e.select("vec_id", vectors.normalise(v).alias("v"))
-        seeds = own.where("vec_id < 10").select(F.col("vec_id").alias("seed"), F.col("v").alias("sv"))
-        scored = own.crossJoin(F.broadcast(seeds)).where("vec_id <> seed").select("seed", "vec_id", vectors.dot(F.col("v"), F.col("sv")).alias("score"))
+        seeds = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("sv"))
+        scored = own.crossJoin(seeds).where("vec_id <> seed").select("seed", "vec_id", vectors.dot(F.col("v"), F.col("sv")).alias("score"))
         w = Window.partitionBy("seed").orderBy(F.desc(F.round("score", 9)), "vec_id")
         parts.append(scored.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("seed", F.lit(name).alias("source"), "vec_id", "rank", "score"))
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
@@ -126,4 +130,4 @@ half AS (SELECT vec_id, 'full' AS source, v FROM emb UNION ALL SELECT vec_id, 'l
 nv AS (SELECT vec_id, source, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM half),
 src AS (SELECT seed, source, vec_id, rank, score FROM (SELECT s.vec_id AS seed, n.source, n.vec_id, list_dot_product(n.v, s.v) AS score,
   row_number() OVER (PARTITION BY s.vec_id, n.source ORDER BY round(list_dot_product(n.v, s.v), 9) DESC, n.vec_id) AS rank
-  FROM nv n JOIN nv s ON n.source = s.source AND s.vec_id < 10 AND n.vec_id <> s.vec_id) WHERE rank <= 20)"""
+  FROM nv n JOIN nv s ON n.source = s.source AND s.vec_id % 50 = 0 AND n.vec_id <> s.vec_id) WHERE rank <= 20)"""
