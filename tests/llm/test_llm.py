@@ -163,6 +163,29 @@ def test_attention_gradient():
     assert lm_score.gradient(step, ids, goal, np.ones(shape))[0] < lm_score.gradient(p, ids, goal, np.ones(shape))[0]
 
 
+def test_lm_learns_from_all_documents(spark):
+    texts = {i: f"w{i % 13} alpha{i} beta " * (1 + i % 60) for i in range(900)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = lm_score.make_classes(np.zeros(lm_score.VOCABULARY, np.int64), lm_score.word_starts())
+    pairs, n_windows, covered = collections.Counter(), 0, collections.Counter()
+    for k, t in texts.items():
+        if zlib.crc32(str(k).encode()) % 10:
+            s = lm_score.class_streams(wordhash.words_of([t.encode()], lower=True), classes)
+            stream = [0, *s.classes.tolist()]
+            pairs.update(a * lm_score.CLASSES + b for a, b in zip(stream[:-1], stream[1:], strict=True))
+            n = -(-len(s.classes) // lm_score.WIDTH)
+            n_windows += n
+            for i in range(n):
+                covered[bytes(stream[i * lm_score.WIDTH : (i + 1) * lm_score.WIDTH + 1])] += 1
+    rows = lm_score.count_pairs(docs.repartition(3), classes, "doc_id", "text").collect()
+    assert {r.key: r.n for r in rows if r.key >= 0} == pairs
+    drawn = [r for r in rows if r.key < 0]
+    assert all(bytes(r.window) in covered for r in drawn)
+    assert sum(r.n for r in drawn) == n_windows
+    a, b = (lm_score.fit_attention(d, classes, "doc_id", "text", 0) for d in (docs.repartition(5), docs.coalesce(1)))
+    assert all((a[name] == b[name]).all() for name in a)
+
+
 # --- 3 audio ---------------------------------------------------------------------------------------
 
 
