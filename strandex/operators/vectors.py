@@ -30,13 +30,13 @@ def literal(values) -> Column:
 class SearchFilters:
     """Options of a ranked search, checked before a plan is built."""
 
-    limit: int = 50
+    limit: int | None = 50
     min_similarity: float | None = None
     epsilon: float | None = None
     noise: float = 0.0
 
     def __post_init__(self):
-        if not 1 <= self.limit <= 500:
+        if self.limit is not None and not 1 <= self.limit <= 500:
             raise ValueError("limit must be from 1 to 500")
         if self.epsilon is not None and self.epsilon < 0:
             raise ValueError("epsilon must not be negative")
@@ -58,13 +58,18 @@ def valid_vectors(vectors: DataFrame, dim: int, v: str = "v", rtol: float = 1e-4
 
 
 def rank_scores(scored: DataFrame, filters: SearchFilters, key: str = "vec_id", score: str = "score", salt: str = "catalog") -> DataFrame:
-    """Threshold, band below the best, jittered order, rank. The reported score stays as it is."""
+    """Threshold, band below the best, jittered order, rank. The reported score stays as it is.
+
+    Without a limit all rows are returned, neither ordered nor ranked, so that no task gets all of them.
+    """
     out = scored
     if filters.min_similarity is not None:
         out = out.where(F.col(score) >= filters.min_similarity)
     if filters.epsilon is not None:
         best = out.agg(F.max(score).alias("best"))
         out = out.crossJoin(F.broadcast(best)).where(F.col(score) >= F.col("best") - filters.epsilon).drop("best")
+    if filters.limit is None:
+        return out
     order = F.col(score)
     if filters.noise:
         order = order + (hash_unit(F.lit(salt), F.col(key)) - 0.5) * filters.noise

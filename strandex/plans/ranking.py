@@ -36,7 +36,7 @@ def query_vector(spark, sf):
 
 @query("f12_epsilon_band", f"WITH {EMB}, {CENTROID}, s AS (SELECT vec_id, list_dot_product(v, c) AS score FROM emb, cen WHERE vec_id NOT IN (0, 1)) SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= (SELECT max(score) FROM s) - 0.05")
 def epsilon_band(spark, sf):
-    out = vectors.seed_search(embeddings(spark, sf), _seeds(spark, 0, 1), SearchFilters(limit=500, epsilon=0.05))
+    out = vectors.seed_search(embeddings(spark, sf), _seeds(spark, 0, 1), SearchFilters(limit=None, epsilon=0.05))
     return out.select("vec_id", r6(F.col("score")).alias("score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandex.functions import expr as X
 from strandex.operators import ann, dedup, fusion, library, metrics, vectors
 from strandex.operators.graph import connected_components
+from strandex.plans import ranking
 from strandex.sources import tables
 from strandex.streaming import events
 
@@ -73,6 +74,13 @@ def test_seed_search(spark):
         vectors.SearchFilters(limit=0)
 
 
+def test_epsilon_band_is_whole(spark, tmp_path):
+    rows = [(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), *[(i, 0, [1.0, 0.0]) for i in range(2, 702)], (702, 0, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = ranking.QUERIES["f12_epsilon_band"](spark, str(tmp_path)).collect()
+    assert sorted(r.vec_id for r in got) == list(range(2, 702))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (5, 5), (3, 4), (4, 4)] + [(i, i + 1) for i in range(100, 160)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
