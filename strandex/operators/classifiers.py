@@ -64,12 +64,12 @@ def train_logistic(rows: DataFrame, columns: list[str], label: str, seed: int =
     return Pipeline(stages=stages).fit(rows.withColumn("w", weight))
 
 
-def score_with(model, rows: DataFrame, key: str) -> DataFrame:
-    """(key, score, confidence, predicted, bucket) of every complete row."""
+def score_with(model, rows: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, score, confidence, predicted, bucket) of every complete row, and the columns to keep."""
     from pyspark.ml.functions import vector_to_array
 
-    p = model.transform(rows.withColumn("w", F.lit(1.0))).select(key, vector_to_array("probability")[1].alias("score"))
-    return p.select(key, "score", F.greatest("score", 1 - F.col("score")).alias("confidence"), (F.col("score") >= 0.5).cast("int").alias("predicted"), score_bucket(F.col("score")).alias("bucket"))
+    p = model.transform(rows.withColumn("w", F.lit(1.0))).select(key, *keep, vector_to_array("probability")[1].alias("score"))
+    return p.select(key, "score", F.greatest("score", 1 - F.col("score")).alias("confidence"), (F.col("score") >= 0.5).cast("int").alias("predicted"), score_bucket(F.col("score")).alias("bucket"), *keep)
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

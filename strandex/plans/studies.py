@@ -57,20 +57,25 @@ def _document_features(spark, sf):
     d = read(spark, sf, "documents")
     words = F.size(F.split("text", " ")).cast("double")
     rows = d.select("doc_id", F.col("n_chars").cast("double").alias("chars"), words.alias("words"), (F.length(F.regexp_replace("text", r"[\p{L}\s]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("odd"))
-    return rows.join(read(spark, sf, "labels"), "doc_id")
+    return rows
+
+
+def _labelled_features(spark, sf):
+    return _document_features(spark, sf).join(read(spark, sf, "labels"), "doc_id")
 
 
 @query("l1_l3_d28_train_and_score")
 def train_and_score(spark, sf):
-    rows = _document_features(spark, sf)
-    dealt = classifiers.folds(rows, "quality", "doc_id")
+    """Learned from the labelled documents of folds 1 to 4; every document is scored, with its fold where it has a label."""
+    dealt = classifiers.folds(_labelled_features(spark, sf), "quality", "doc_id")
     model = classifiers.train_logistic(dealt.where("fold > 0"), ["chars", "words", "odd"], "quality")
-    return classifiers.score_with(model, dealt.where("fold = 0"), "doc_id")
+    rows = _document_features(spark, sf).join(dealt.select("doc_id", "fold"), "doc_id", "left")
+    return classifiers.score_with(model, rows, "doc_id", "fold")
 
 
 @query("l4_validation_metrics")
 def validation_metrics(spark, sf):
-    rows = classifiers.folds(_document_features(spark, sf), "quality", "doc_id")
+    rows = classifiers.folds(_labelled_features(spark, sf), "quality", "doc_id")
     model = classifiers.train_logistic(rows.where("fold > 0"), ["chars", "words", "odd"], "quality")
     scored = classifiers.score_with(model, rows.where("fold = 0"), "doc_id").join(rows.select("doc_id", "quality"), "doc_id")
     return classifiers.confusion(scored, "quality", "predicted")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from strandex.functions import expr as X
 from strandex.operators import ann, dedup, fusion, library, metrics, vectors
 from strandex.operators.graph import connected_components
-from strandex.plans import ranking
+from strandex.plans import ranking, studies
 from strandex.sources import tables
 from strandex.streaming import events
+from tests.conftest import SF
 
 
 def one(spark, column):
@@ -81,6 +82,15 @@ def test_epsilon_band_is_whole(spark, tmp_path):
     assert sorted(r.vec_id for r in got) == list(range(2, 702))
 
 
+def test_every_document_is_scored(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    complete = {r.doc_id for r in docs.where("text IS NOT NULL AND n_chars IS NOT NULL").collect()}
+    rows = studies.QUERIES["l1_l3_d28_train_and_score"](spark, SF).collect()
+    assert len(rows) == len(complete) and {r.doc_id for r in rows} == complete
+    assert {r.doc_id for r in rows if r.fold is not None} == complete & {r.doc_id for r in labels.collect()}
+    assert {r.fold for r in rows} == {None, 0, 1, 2, 3, 4}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (5, 5), (3, 4), (4, 4)] + [(i, i + 1) for i in range(100, 160)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
