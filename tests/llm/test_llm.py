@@ -142,31 +142,128 @@ def test_lm_base_and_score(spark, docs):
         base = sum(math.log10((counts[w] + 0.1) / scale) for w in own) + math.log10((n_docs + 0.1) / scale)
         assert r.base_score == pytest.approx(base, abs=1e-4)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 10 == 0, len(own) + 1, sum(counts[w] > 0 for w in own) + 1, total)
-    held = [r for r in rows.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_awkward(awkward, empty):
-    rows = lm_score.score(awkward.select("doc_id", "text")).collect()
+def test_lm_beats_counts_on_held_out_text(spark):
+    """The baseline gives 0.1 / scale to every word not seen, however many there are; it needs text enough to be beaten all the same."""
+    held = lm_score.op2_attention_lm(spark, SF.replace("sf0.001", "sf0.1")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_lm_awkward(awkward, empty, spark):
+    clashing = awkward.select("doc_id", "text", F.lit("x").alias("row"), F.lit("y").alias("hash"), F.lit(0).alias("n"), F.lit(0).alias("score"))
+    rows = lm_score.score(clashing).collect()
     assert len(rows) == len(AWKWARD) and all(math.isfinite(r.score) for r in rows)
     assert all(r.held_out for r in rows if r.doc_id is None)
+    assert len({(r.score, r.base_score) for r in rows if r.doc_id == 4}) == 1
     assert lm_score.score(empty).count() == 0
+    # one word of a million bytes, and nothing to learn from at all
+    odd = spark.createDataFrame([(0, "x" * 1_000_000), (None, "a b")], "doc_id long, text string")
+    assert all(math.isfinite(r.score) and r.n_tokens == n for r, n in zip(sorted(lm_score.score(odd).collect(), key=lambda r: r.n_tokens), (2, 3), strict=True))
+    unlearned = lm_score.score(odd.where("doc_id is null")).collect()[0]
+    assert unlearned.train_tokens == 0 and unlearned.base_score == pytest.approx(0) and math.isfinite(unlearned.score)
+
+
+def toy_params(seed=0):
+    rng = np.random.default_rng(seed)
+    p = lm_score.init_params(rng.random((lm_score.CLASSES, lm_score.CLASSES)) * 50)
+    return {k: v if k == "pair" else v * 3 for k, v in p.items()}
+
+
+def stream_of(texts, begins):
+    """A stream of given classes; every class that begins a word begins one."""
+    flat = np.concatenate(texts).astype(np.uint8)
+    first = np.cumsum([0, *map(len, texts)])
+    at = np.flatnonzero(flat < begins)
+    return lm_score.Streams(flat, first, at, np.searchsorted(at, first), None, None, None)
 
 
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     shape = (2, lm_score.WIDTH)
-    ids, goal = rng.integers(0, lm_score.CLASSES, shape), rng.integers(0, lm_score.CLASSES, shape)
-    p = lm_score.init_params(rng.random((lm_score.CLASSES, lm_score.CLASSES)))
-    _, g = lm_score.gradient(p, ids, goal, np.ones(shape))
-    step = {k: v - 0.05 * g[k].astype(np.float32) for k, v in p.items()}
-    assert lm_score.gradient(step, ids, goal, np.ones(shape))[0] < lm_score.gradient(p, ids, goal, np.ones(shape))[0]
+    ids, goal, weight = rng.integers(0, lm_score.CLASSES, shape), rng.integers(0, lm_score.CLASSES, shape), rng.random(shape).astype(np.float32)
+    p = toy_params()
+    _, g = lm_score.gradient(p, ids, goal, weight)
+    for name in p:
+        way = rng.standard_normal(p[name].shape).astype(np.float32)
+        if name in ("embed", "pair"):
+            way[~np.isin(np.arange(len(way)), ids)] = 0
+        out = [lm_score.gradient(p | {name: p[name] + np.float32(e) * way}, ids, goal, weight)[0] for e in (1e-3, -1e-3)]
+        assert (out[0] - out[1]) / 2e-3 == pytest.approx(float((g[name] * way).sum()), abs=0.02, rel=0.05)
+
+
+def test_windows_score_each_class_once_as_a_plain_pass_would():
+    rng, begins, p = np.random.default_rng(1), 90, toy_params()
+    texts = [np.append(rng.integers(1, lm_score.CLASSES, n), 0) for n in (0, 5, 31, 32, 33, 100, 57)]
+    s = stream_of(texts, begins)
+    each, border = lm_score.score_streams(p, s, begins, np.ones(len(s.classes), bool), batch=3)
+    part, _ = lm_score.score_streams(p, s, begins, np.zeros(len(s.classes), bool))
+    scale = lambda z: lm_score.power(np.array(z, np.float32))
+    at = 0
+    for text in texts:
+        for t in range(len(text)):
+            number = 0 if t < lm_score.WIDTH else 1 + (t - lm_score.WIDTH) // lm_score.STRIDE
+            start = number * lm_score.STRIDE
+            before = [0 if i == 0 else int(text[i - 1]) for i in range(start, t + 1)]
+            x = p["embed"][before] + p["place"][: len(before)]
+            a = scale((x[-1] @ p["q"]) @ (x @ p["k"]).T * lm_score._SCALE)
+            h = x[-1] + (a @ (x @ p["v"]) / a.sum()) @ p["o"]
+            z = scale(h @ p["out"] + p["pair"][before[-1]]).astype(float)
+            total = z[:begins].sum() if text[t] < begins else z.sum()
+            assert each[at] == pytest.approx(math.log10(z[text[t]] / total), abs=1e-4)
+            assert border[at] == pytest.approx(math.log10(z[:begins].sum() / z.sum()), abs=1e-4)
+            assert part[at] == (pytest.approx(each[at], abs=1e-5) if text[t] < begins else 0)
+            at += 1
+
+
+def test_chances_of_all_next_words_add_up_to_one():
+    begins, p, context = 90, toy_params(3), [7, 120, 3]
+    # words of one class, and of two: after each first class, ending and all continuations add up
+    texts = [[*context, f, 0] for f in range(begins)] + [[*context, f, c, 0] for f in range(0, begins, 13) for c in range(begins, lm_score.CLASSES)]
+    s = stream_of(texts, begins)
+    each, border = lm_score.score_streams(p, s, begins, np.ones(len(s.classes), bool))
+    at = len(context)
+    first = 10.0 ** each[s.first[:begins] + at]
+    assert first.sum() == pytest.approx(1, abs=1e-4)
+    ends = 10.0 ** border[s.first[:begins] + at + 1]
+    two = 10.0 ** each[s.first[begins:-1] + at + 1].reshape(-1, lm_score.CLASSES - begins)
+    assert two.sum(axis=1) + ends[::13] == pytest.approx(1, abs=1e-4)
+    assert (10.0 ** border[s.first[begins:-1] + at + 2] < 1).all()
+    # within a class: words that were seen, and the share left for others
+    counts, once = np.zeros(lm_score.VOCABULARY), np.zeros(lm_score.VOCABULARY)
+    starts = lm_score.subwords().starts_word()
+    some = np.flatnonzero(starts)[:4000]
+    counts[some], once[some[::3]] = np.arange(4000) % 11, np.arange(4000)[::3] % 11 > 5
+    made = lm_score.make_classes(counts, starts, once)
+    words = np.bincount(made.of, counts, lm_score.CLASSES)[: made.begins]
+    assert made.of[starts].max() < made.begins <= made.of[~starts].min() and made.of[lm_score.END] == 0
+    full = np.flatnonzero(words > 0)
+    assert 10.0 ** made.seen[full] * words[full] + 10.0 ** made.unseen[full] == pytest.approx(1)
+    assert np.bincount(made.of, 10.0 ** made.share.astype(float)) == pytest.approx(1, abs=1e-3)
+
+
+def test_word_scores_put_the_parts_together(spark):
+    texts = ["the inner voice of the thing", "of voice", "", "zzzz qqqq the"]
+    words_ = wordhash.words_of([t.encode() for t in texts], lower=True)
+    classes = lm_score.make_classes(np.ones(lm_score.VOCABULARY), lm_score.subwords().starts_word(), np.full(lm_score.VOCABULARY, 0.25))
+    s, p = lm_score.class_streams(words_, classes), toy_params(2)
+    for settled in (np.zeros(len(s.word), bool), s.word == len(s.keys), np.arange(len(s.word)) % 2 == 0):
+        known, gain = lm_score.word_scores(s, classes, p, settled)
+        each, border = lm_score.score_streams(p, s, classes.begins, np.ones(len(s.classes), bool))
+        edges = [*s.word_at.tolist(), len(s.classes)]
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            c = s.classes[a]
+            assert known[i] == pytest.approx(each[a] + classes.seen[c], abs=1e-4)
+            if settled[i] or s.word[i] == len(s.keys):
+                continue
+            spelt = each[a:b].sum() + classes.unseen[c] + s.share[s.word[i]] + border[b]
+            assert known[i] + gain[i] == pytest.approx(spelt, abs=1e-4)
 
 
 def test_lm_learns_from_all_documents(spark):
     texts = {i: f"w{i % 13} alpha{i} beta " * (1 + i % 60) for i in range(900)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    classes = lm_score.make_classes(np.zeros(lm_score.VOCABULARY, np.int64), lm_score.word_starts())
+    classes = lm_score.make_classes(np.zeros(lm_score.VOCABULARY, np.int64), lm_score.subwords().starts_word())
     pairs, n_windows, covered = collections.Counter(), 0, collections.Counter()
     for k, t in texts.items():
         if zlib.crc32(str(k).encode()) % 10:
