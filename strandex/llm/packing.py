@@ -7,9 +7,13 @@ and two for one (either way) between underfull bins. Every accepted step makes t
 so the sum of squared fills rises, and bins run empty. A group wastes less than one bin more than
 one big group would, so the number of groups hardly matters for the number of sequences.
 
-Defined results: null and empty texts are the end id alone; ties are settled by length, id and piece;
-repeated rows are packed as often as they come; an empty table gives an empty result; extra columns
-are ignored.
+Ids are those of the vocabulary's tokenizer file, its special strings included. They are made by a
+faster library with the same rules; a text on which that one gives up (a run of white space of many
+hundred thousand characters) goes through the file's own.
+
+Defined results: null and empty texts are the end id alone; texts of any length are read whole; ties
+are settled by length, id and piece; repeated rows are packed as often as they come; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,20 +35,30 @@ END_ID = 2
 GROUP = 65_536
 TOKENIZER = "byte_bpe_50k"
 
+
 class Encoder:
-    """The byte-level BPE of a public vocabulary: same ids as its tokenizer file, special strings as text."""
+    """The byte-level BPE of a public vocabulary: same ids as its tokenizer file."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        self.model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.own = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        special = {token.content: i for i, token in self.own.get_added_tokens_decoder().items()}
+        self.model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str | None) -> bytes:
         """All ids of a text, four bytes each, lowest first."""
-        return self.model.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+        if not text:
+            return b""
+        try:
+            made = self.model.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern needs too deep a stack
+            made = np.array(self.own.encode(text, add_special_tokens=False).ids)
+        return made.astype("<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -239,9 +253,9 @@ class Exchange:
         return [items for items in self.bins.values() if items]
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of positions for lengths up to ``capacity``: best fit, largest first, then the exchange."""
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, largest_first: bool = True) -> list[list[int]]:
+    """Bins of positions for lengths up to ``capacity``: best fit, largest first or as they come, then the exchange."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i]) if largest_first else range(len(lengths))
     bins = [[order[i] for i in b] for b in best_fit([lengths[i] for i in order], capacity)]
     lowest = -(-sum(lengths) // capacity)
     return bins if len(bins) <= lowest else Exchange(bins, lengths, capacity).run(lowest)

@@ -73,7 +73,6 @@ def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for k, t in texts.items()}
     places = collections.defaultdict(list)
     for r in rows:
@@ -98,11 +97,23 @@ def test_packing(spark, docs):
     assert n <= math.ceil(tokens / 1024) * 1.01 + 2
 
 
-def test_packing_awkward(awkward, empty):
-    rows = packing.pack(awkward.select("doc_id", "text")).collect()
+def test_packing_awkward(awkward, empty, spark):
+    clashing = awkward.select("doc_id", "text", F.lit("x").alias("piece"), F.lit(1).alias("group"), F.lit("y").alias("offset"), F.lit(2).alias("length"))
+    rows = packing.pack(clashing).collect()
     check_packing(rows, {r[0]: r[1] for r in AWKWARD})
     assert sum(r.doc_id == 4 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
     assert packing.pack(empty).count() == 0
+    odd = {1: " " * 1_100_000 + "end", 2: "\n" * 600_000, 3: "a <|endoftext|> b<|endoftext|>", 4: "<|endoftext|", 5: "x" * 1_000_000, 6: "\u3000" * 1_000_000, 7: "a  <|endoftext|>  b\n\n"}
+    got = packing.pack(spark.createDataFrame(list(odd.items()), "doc_id long, text string"), with_ids=True).collect()
+    check_packing(got, odd)
+    assert any(50256 in r.ids for r in got if r.doc_id == 3) and not any(50256 in r.ids for r in got if r.doc_id == 4)
+
+
+def test_packing_ties(spark):
+    """Forty documents of the same 512 ids: two fill a sequence."""
+    texts = {i: " a" * 511 for i in range(40)}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert check_packing(rows, texts)[0] == 20
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -116,6 +127,15 @@ def test_exchange_keeps_items_and_never_adds_bins(seed):
     assert all(sum(lengths[i] for i in b) <= 1024 for b in bins) and len(bins) <= len(fit)
 
 
+def test_exchange_saves_bins_of_documents_as_they_come():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(1024, rng.lognormal(5.6, 0.9, 4000).astype(int) + 1).tolist()
+    plain, better = packing.best_fit(lengths, 1024), packing.pack_lengths(lengths, largest_first=False)
+    bound = -(-sum(lengths) // 1024)
+    assert sorted(i for b in better for i in b) == list(range(4000))
+    assert bound <= len(better) <= bound + 1 < len(plain)
+
+
 def test_exchange_empties_bins():
     lengths = [6, 5, 4, 4, 3, 3, 3, 2]  # capacity 10: three bins hold them all
     bins = [[0, 6], [1, 2], [3, 4, 7], [5]]
