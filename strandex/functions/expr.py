@@ -14,6 +14,11 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` written and computed once, for large expressions; small ones stay in generated code without."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def clamp01(x: Column, non_finite: float = 0.0) -> Column:
     """``x`` within [0, 1]; values that are not finite become ``non_finite``; null stays null."""
     inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
@@ -41,6 +46,12 @@ def mean_available(terms: Iterable[Column]) -> Column:
     return weighted_mean_available([(t, 1.0) for t in terms])
 
 
+def mean_of(terms: Iterable[Column]) -> Column:
+    """:func:`mean_available` for large terms: each is computed once."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return once(F.filter(F.array(*terms), lambda x: x.isNotNull()), lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)))
+
+
 def present(terms: Iterable[Column]) -> Column:
     """How many terms are not null."""
     return reduce(lambda a, b: a + b, [t.isNotNull().cast("int") for t in terms])
@@ -142,6 +153,7 @@ def bin_index(x: Column, bins: int) -> Column:
 
 # --- tempo and key ---------------------------------------------------------------------------------
 
+# fixed values: thresholds and neutral scores of tempo and key
 LOW_CONFIDENCE, TEMPO_NEUTRAL, TEMPO_WINDOW, TAG_TOLERANCE = 0.45, 0.5, 16.0, 4.0
 KEY_NEUTRAL = 0.55
 
@@ -156,7 +168,10 @@ def tempo_distance(a: Column, b: Column) -> Column:
 
 
 def relative_tempo_delta(a: Column, b: Column) -> Column:
-    return F.when(b != 0, tempo_distance(a, b) / F.abs(b))
+    """Smallest change relative to the second side, with either side as it is, halved or doubled."""
+    tiny = F.lit(1e-9)
+    plain = [F.abs(a * f - b) / F.greatest(F.abs(b), tiny) for f in (1.0, 0.5, 2.0)]
+    return F.least(*plain, *[F.abs(a - b * f) / F.greatest(F.abs(b * f), tiny) for f in (0.5, 2.0)])
 
 
 def tempo_score(a: Column, b: Column) -> Column:
@@ -164,14 +179,9 @@ def tempo_score(a: Column, b: Column) -> Column:
 
 
 def tempo_reliability(confidence: Column, grid: Column) -> Column:
-    """Geometric mean of two confidences; a missing tempo confidence counts as none."""
-    return F.sqrt(clamp01(F.coalesce(confidence, F.lit(0.0))) * clamp01(F.coalesce(grid, F.lit(1.0))))
-
-
-def confidence_tempo_score(a: Column, b: Column, rel_a: Column, rel_b: Column) -> Column:
-    """The tempo score, drawn to neutral as the pair's reliability falls."""
-    pair = F.sqrt(rel_a * rel_b)
-    return F.when(a.isNotNull() & b.isNotNull(), TEMPO_NEUTRAL + (tempo_score(a, b) - TEMPO_NEUTRAL) * pair)
+    """The confidence, or its geometric mean with the grid's stability where there is one; none if it is missing."""
+    own = F.coalesce(clamp01(confidence), F.lit(0.0))
+    return F.when(grid.isNull(), own).otherwise(F.sqrt(own * clamp01(grid)))
 
 
 # fixed values: note names of the wheel of keys, position 1 to 12, minor (A) and major (B)
@@ -203,6 +213,24 @@ def key_to_camelot(x: Column) -> Column:
     return F.try_element_at(table, flat)
 
 
+def resolved_camelot(tag: Column, analysed: Column, analysed_name: Column) -> Column:
+    """Wheel position of an item: a tag that is one, then the analysed one, then a key name in the tag, then the analysed name."""
+    return F.coalesce(camelot(tag), camelot(analysed), key_to_camelot(tag), key_to_camelot(analysed_name))
+
+
+def resolved_key_source(tag: Column, analysed: Column, analysed_name: Column) -> Column:
+    return F.coalesce(
+        F.when(camelot(tag).isNotNull(), "tag"), F.when(camelot(analysed).isNotNull(), "analysed"),
+        F.when(key_to_camelot(tag).isNotNull(), "tag_name"), F.when(key_to_camelot(analysed_name).isNotNull(), "analysed_name"),
+    )
+
+
+def resolved_key_confidence(tag: Column, analysed: Column, analysed_name: Column, confidence: Column) -> Column:
+    """The analysis's confidence; null where the tag decides or nothing was analysed."""
+    analysed_any = camelot(analysed).isNotNull() | key_to_camelot(analysed_name).isNotNull()
+    return F.when(camelot(tag).isNull() & analysed_any & finite(confidence).isNotNull(), clamp01(confidence))
+
+
 def camelot_score(a: Column, b: Column) -> Column:
     """1 same, 0.95 one step on the wheel, 0.9 relative, 0.2 clash, 0.55 unknown."""
     number = lambda k: F.regexp_extract(k, r"^(\d+)", 1).cast("int")
@@ -217,6 +245,13 @@ def camelot_score(a: Column, b: Column) -> Column:
     )
 
 
+def camelot_relation(a: Column, b: Column) -> Column:
+    """same, adjacent (one step on the wheel), relative (other mode), clash or unknown."""
+    names = {1.0: "same", 0.95: "adjacent", 0.9: "relative", 0.2: "clash"}
+    score = camelot_score(a, b)
+    return F.coalesce(*[F.when(score == value, F.lit(name)) for value, name in names.items()], F.lit("unknown"))
+
+
 def attenuate(score: Column, *confidences: Column, neutral: float = KEY_NEUTRAL) -> Column:
     """Draw a score to neutral by the geometric mean of the known confidences, each against 0.45."""
     logs = [F.when(c.isNotNull(), F.log(F.greatest(F.least(F.lit(1.0), c / LOW_CONFIDENCE), F.lit(1e-12)))) for c in confidences]

@@ -1,9 +1,8 @@
-"""Missing-aware feature similarity and transition risk between items."""
+"""Missing-aware feature similarity between items."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,49 +80,3 @@ def modes(rows: DataFrame, column: str) -> DataFrame:
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).count()
     top = counts.agg(F.max("count").alias("top"))
     return counts.crossJoin(F.broadcast(top)).where("count = top").select(column)
-
-
-# --- transition risk -------------------------------------------------------------------------------
-
-TEMPO_SCALE = 0.12
-#: Weights of the components of the second version.
-RISK_WEIGHTS = {"bpm": 1.0, "key": 1.0, "energy": 1.0, "sources": 1.0, "density": 0.75, "texture": 0.75, "mood": 0.75, "vocal": 0.6, "grid": 0.6, "structure": 0.65, "missing": 0.4}
-
-
-def bpm_risk(a: str, b: str) -> Column:
-    """Relative tempo change, the outgoing side as it is, halved or doubled, on a scale of 12 %."""
-    x, y = X.valid_bpm(F.col(a)), X.valid_bpm(F.col(b))
-    delta = F.least(F.abs(x - y), F.abs(x / 2 - y), F.abs(x * 2 - y)) / y
-    return X.clamp01(delta / TEMPO_SCALE, 1.0)
-
-
-def key_risk(a: Column, b: Column, conf_a: Column, conf_b: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull(), 1 - X.attenuate(X.camelot_score(a, b), conf_a, conf_b))
-
-
-def group_risk(left: list[Column], right: list[Column]) -> Column:
-    """1 less the mean similarity over the fields that both have."""
-    return 1 - X.mean_available([X.clamp01(X.numeric_similarity(a, b)) for a, b in zip(left, right, strict=True)])
-
-
-def source_risk(count: Column, most: Column) -> Column:
-    return F.when(most > 0, X.clamp01(1 - count / most, 1.0))
-
-
-def missing_risk(groups: list[Column]) -> Column:
-    """0.35 times the share of groups that could not be judged."""
-    return reduce(lambda a, b: a + b, [g.isNull().cast("double") for g in groups]) / len(groups) * 0.35
-
-
-def grid_risk(a: Column, b: Column) -> Column:
-    return 1 - F.sqrt(X.clamp01(a) * X.clamp01(b))
-
-
-def transition_risk(components: Mapping[str, Column], weights: Mapping[str, float] = RISK_WEIGHTS) -> Column:
-    """Weighted mean of the components there are."""
-    return X.weighted_mean_available([(c, weights[name]) for name, c in components.items()])
-
-
-def warnings(components: Mapping[str, Column], high: float = 0.6) -> Column:
-    """Names of components that are missing or high, in order."""
-    return F.array_compact(F.array(*[F.when(c.isNull(), F.lit(f"missing_{n}")).when(c >= high, F.lit(f"high_{n}")) for n, c in components.items()]))

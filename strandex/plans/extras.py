@@ -35,32 +35,6 @@ def explanation_tags(spark, sf):
     return t.agg(r6(F.avg("ok")).alias("agreement"), r6(F.count("ok") / F.count(F.when(F.col("known"), 1))).alias("coverage"))
 
 
-def structure_fit(outro, intro, level_a, level_b, curve_a, curve_b):
-    """Mean of the parts there are: overlap of outro and intro over 16 s, energy levels, energy curves.
-
-    Zeros in a curve are dropped before it is compared.
-    """
-    overlap = X.clamp01(F.least(outro, intro) / 16.0)
-    levels = X.clamp01(1 - F.abs(level_a - level_b))
-    a, b = F.filter(curve_a, lambda x: x != 0), F.filter(curve_b, lambda x: x != 0)
-    n = F.least(F.size(a), F.size(b))
-    gaps = F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    both = outro.isNotNull() & intro.isNotNull()
-    return X.mean_available([F.when(both, overlap), levels, F.when(n > 0, X.clamp01(1 - gaps / n))])
-
-
-@query("d9_structure_fit", f"""WITH {FEATURES}, p AS (SELECT a.track_id AS a_id, b.track_id AS b_id, least(a.bpm, b.bpm) / 10 / 16 AS o, a.bpm IS NOT NULL AND b.bpm IS NOT NULL AS twain, 1 - abs(a.energy - b.energy) AS l, 1 - (abs(a.energy - b.energy) + abs(a.valence - b.valence)) / 2 AS c FROM feat a JOIN feat b ON b.track_id = a.track_id + 1 WHERE a.energy > 0 AND b.energy > 0 AND a.valence > 0 AND b.valence > 0)
-SELECT a_id, b_id, round((coalesce(CASE WHEN twain THEN least(1, greatest(0, o)) END, 0) + least(1, greatest(0, l)) + least(1, greatest(0, c))) / (2 + CAST(twain AS INTEGER)), 6) AS fit FROM p""")
-def structure(spark, sf):
-    f = features(spark, sf).where("energy > 0 and valence > 0")
-    a = f.select(*[F.col(c).alias(f"a_{c}") for c in ("track_id", "bpm", "energy", "valence")])
-    b = f.select(*[F.col(c).alias(f"b_{c}") for c in ("track_id", "bpm", "energy", "valence")])
-    j = a.join(b, F.col("b_track_id") == F.col("a_track_id") + 1)
-    curve = lambda s: F.array(F.col(f"{s}_energy"), F.lit(0.0), F.col(f"{s}_valence"))
-    fit = structure_fit(F.col("a_bpm") / 10, F.col("b_bpm") / 10, F.col("a_energy"), F.col("b_energy"), curve("a"), curve("b"))
-    return j.select(F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), r6(fit).alias("fit"))
-
-
 @query("a36_label_ranking", "WITH m AS (SELECT user_id, event_type, avg(value) AS mean FROM events GROUP BY 1, 2) SELECT user_id, event_type, round(mean, 6) AS mean, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(mean, 9) DESC, event_type) AS rank FROM m) WHERE rank <= 3")
 def label_ranking(spark, sf):
     m = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("library", "ranking", "scoring", "studies", "extras")
+MODULES: tuple[str, ...] = ("library", "ranking", "scoring", "studies", "extras", "transitions")
 
 
 def _gather(what: str) -> dict:

@@ -26,18 +26,6 @@ def numeric_rules(spark, sf):
     return e.select("event_id", r6(X.clamp01(v / 50)).alias("clamped"), r6(X.normalise(v, F.lit(10.0), F.lit(50.0))).alias("scaled"), r6(X.numeric_similarity(v, F.col("user_id").cast("double"))).alias("similar"))
 
 
-@query("x6_x8_tempo", f"WITH {FEATURES}, p AS (SELECT track_id, bpm AS a, 128.0::DOUBLE AS b FROM feat) SELECT track_id, round({DIST}, 6) AS distance, round({DIST} / b, 6) AS relative, round(CASE WHEN a IS NOT NULL THEN least(1, greatest(0, 1 - {DIST} / 16)) END, 6) AS score FROM p")
-def tempo(spark, sf):
-    a, b = F.col("bpm"), F.lit(128.0)
-    return features(spark, sf).select("track_id", r6(X.tempo_distance(a, b)).alias("distance"), r6(X.relative_tempo_delta(a, b)).alias("relative"), r6(X.tempo_score(a, b)).alias("score"))
-
-
-@query("x9_x10_confident_tempo", f"WITH {FEATURES}, p AS (SELECT track_id, bpm AS a, 128.0::DOUBLE AS b, sqrt(least(1, greatest(0, coalesce(bpm_confidence, 0)))) AS r FROM feat) SELECT track_id, round(CASE WHEN a IS NOT NULL THEN 0.5 + (least(1, greatest(0, 1 - {DIST} / 16)) - 0.5) * sqrt(r * 0.81) END, 6) AS score FROM p")
-def confident_tempo(spark, sf):
-    rel = X.tempo_reliability(F.col("bpm_confidence"), F.lit(None).cast("double"))
-    return features(spark, sf).select("track_id", r6(X.confidence_tempo_score(F.col("bpm"), F.lit(128.0), rel, F.lit(0.81))).alias("score"))
-
-
 @query("x12_x14_camelot", f"""WITH {FEATURES}, k AS (SELECT track_id, key, CAST(regexp_extract(key, '^(\\d+)', 1) AS INTEGER) AS n, right(key, 1) AS l FROM feat)
 SELECT track_id, key AS canonical, CASE WHEN key IS NULL THEN 0.55 WHEN key = '8A' THEN 1.0 WHEN l = 'A' AND (n - 8 + 24) % 12 IN (1, 11) THEN 0.95 WHEN n = 8 THEN 0.9 ELSE 0.2 END::DOUBLE AS score FROM k""")
 def camelot(spark, sf):
@@ -132,58 +120,6 @@ def tied_modes(spark, sf):
     return feat.modes(features(spark, sf), "key")
 
 
-def _pairs(spark, sf):
-    f = features(spark, sf)
-    a = f.select(*[F.col(c).alias(f"a_{c}") for c in f.columns])
-    b = f.select(*[F.col(c).alias(f"b_{c}") for c in f.columns])
-    return a.join(b, F.col("b_track_id") == F.col("a_track_id") + 1)
-
-
-
-
-
-def _sim(f: str) -> str:
-    return f"CASE WHEN a.{f} IS NOT NULL AND b.{f} IS NOT NULL THEN least(1, greatest(0, 1 - abs(a.{f} - b.{f}) / greatest(abs(a.{f}), abs(b.{f}), 1))) END"
-
-
-RISKS = f"""{FEATURES}, p AS (SELECT a.track_id AS a_id, b.track_id AS b_id,
- CASE WHEN a.bpm IS NOT NULL AND b.bpm IS NOT NULL THEN least(1, greatest(0, least(abs(a.bpm - b.bpm), abs(a.bpm / 2 - b.bpm), abs(a.bpm * 2 - b.bpm)) / b.bpm / 0.12)) END AS bpm,
- 1 - (0.55 + (CASE WHEN a.key = b.key THEN 1.0 WHEN right(a.key, 1) = right(b.key, 1) AND (regexp_extract(a.key, '^\\d+')::INTEGER - regexp_extract(b.key, '^\\d+')::INTEGER + 24) % 12 IN (1, 11) THEN 0.95 WHEN regexp_extract(a.key, '^\\d+') = regexp_extract(b.key, '^\\d+') THEN 0.9 WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN 0.2 END - 0.55)
-  * exp(coalesce((coalesce(ln(greatest(least(1, a.key_confidence / 0.45), 1e-12)), 0) + coalesce(ln(greatest(least(1, b.key_confidence / 0.45), 1e-12)), 0)) / nullif(CAST(a.key_confidence IS NOT NULL AS INTEGER) + CAST(b.key_confidence IS NOT NULL AS INTEGER), 0), 0))) AS key,
- 1 - {_sim('energy')} AS energy, 1 - {_sim('density')} AS density,
- 1 - (coalesce({_sim('valence')}, 0) + coalesce({_sim('dance')}, 0)) / nullif(CAST(a.valence IS NOT NULL AND b.valence IS NOT NULL AS INTEGER) + CAST(a.dance IS NOT NULL AND b.dance IS NOT NULL AS INTEGER), 0) AS mood
- FROM feat a JOIN feat b ON b.track_id = a.track_id + 1),
-q AS (SELECT *, (CAST(density IS NULL AS INTEGER) + CAST(mood IS NULL AS INTEGER)) / 2 * 0.35 AS missing FROM p)"""
-
-
-def _components():
-    col = lambda n: (F.col(f"a_{n}"), F.col(f"b_{n}"))
-    parts = {
-        "bpm": feat.bpm_risk("a_bpm", "b_bpm"),
-        "key": feat.key_risk(*col("key"), *col("key_confidence")),
-        "energy": feat.group_risk([F.col("a_energy")], [F.col("b_energy")]),
-        "density": feat.group_risk([F.col("a_density")], [F.col("b_density")]),
-        "mood": feat.group_risk([F.col("a_valence"), F.col("a_dance")], [F.col("b_valence"), F.col("b_dance")]),
-    }
-    return parts | {"missing": feat.missing_risk([parts["density"], parts["mood"]])}
-
-
-@query("d10_d13_transition_components", f"WITH {RISKS} SELECT a_id, b_id, round(bpm, 6) AS bpm, round(key, 6) AS key, round(energy, 6) AS energy, round(density, 6) AS density, round(mood, 6) AS mood, round(missing, 6) AS missing FROM q")
-def transition_components(spark, sf):
-    return _pairs(spark, sf).select(F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), *[r6(c).alias(n) for n, c in _components().items()])
-
-
-@query("d11_transition_risk", f"WITH {RISKS} SELECT a_id, b_id, round((coalesce(bpm, 0) + coalesce(key, 0) + coalesce(energy, 0) + coalesce(density, 0) * 0.75 + coalesce(mood, 0) * 0.75 + missing * 0.4) / (CAST(bpm IS NOT NULL AS INTEGER) + CAST(key IS NOT NULL AS INTEGER) + CAST(energy IS NOT NULL AS INTEGER) + CAST(density IS NOT NULL AS INTEGER) * 0.75 + CAST(mood IS NOT NULL AS INTEGER) * 0.75 + 0.4), 6) AS risk FROM q")
-def transition_risk(spark, sf):
-    return _pairs(spark, sf).select(F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), r6(feat.transition_risk(_components())).alias("risk"))
-
-
-@query("d14_warnings", f"WITH {RISKS} SELECT a_id, b_id, rtrim(CASE WHEN bpm IS NULL THEN 'missing_bpm,' WHEN bpm >= 0.6 THEN 'high_bpm,' ELSE '' END || CASE WHEN key IS NULL THEN 'missing_key,' WHEN key >= 0.6 THEN 'high_key,' ELSE '' END, ',') AS codes FROM q")
-def warnings(spark, sf):
-    parts = {n: c for n, c in _components().items() if n in ("bpm", "key")}
-    return _pairs(spark, sf).select(F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id"), F.array_join(feat.warnings(parts), ",").alias("codes"))
-
-
 @query("j13_band_join", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(a.o_totalprice - b.o_totalprice) <= 5000")
 def band_join(spark, sf):
     return dedup.band_pairs(read(spark, sf, "orders"), "o_orderkey", "o_totalprice", 5000.0, ["o_custkey"]).select("a", "b")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import expr as X
-from strandex.operators import ann, dedup, fusion, library, metrics, vectors
+from strandex.operators import ann, dedup, fusion, library, metrics, tempo, transition, vectors
 from strandex.operators.graph import connected_components
 from strandex.plans import ranking, studies
 from strandex.sources import tables
@@ -18,6 +18,10 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def row_of(spark, *columns):
+    return spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+
+
 def ranked(spark, *lists):
     rows = [(s, i + 1, r) for s, rels in enumerate(lists) for i, r in enumerate(rels)]
     return spark.createDataFrame(rows, "s int, rank int, rel int")
@@ -159,8 +163,68 @@ def test_event_stream_equals_batch(spark, tmp_path):
     source.mkdir()
     (source / "e.parquet").symlink_to(f"{SF}/events.parquet")
     seen = []
-    stream = events.windowed(events.distinct_events(events.read_events(spark, f"file://{source}"), "40 days"), "1 day", late="40 days")
+    stream = events.windowed(events.distinct_events(events.read_events(spark, f"file://{source}", "40 days")), "1 day")
     query = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination()
     batch = events.windowed(spark.read.parquet(f"{SF}/events.parquet"), "1 day").collect()
     assert {(r.start, r.event_type, r.n) for r in seen} == {(r.start, r.event_type, r.n) for r in batch}
+
+
+def test_incremental_work_sees_new_files_once(spark, tmp_path):
+    from tests.conftest import SF
+
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    for part in (0, 1):
+        rows.where(f"event_id % 2 = {part}").coalesce(1).write.mode("append").parquet(f"file://{source}")
+        events.incremental(events.read_events(spark, f"file://{source}"), lambda df, n: seen.extend(r.event_id for r in df.collect()), f"file://{tmp_path}/cp").awaitTermination()
+        assert sorted(seen) == sorted(r.event_id for r in rows.where(f"event_id % 2 <= {part}").collect())
+
+
+def test_tempo_deltas(spark):
+    lit = lambda x: F.lit(float(x))
+    row = row_of(spark, *[X.relative_tempo_delta(lit(a), lit(b)) for a, b in ((65, 120), (120, 65), (60, 240), (128.8, 64))])
+    assert list(row) == pytest.approx([10 / 120, 5 / 65, 0.5, 0.8 / 128])
+    risks = row_of(spark, *[transition.plain_bpm_risk(lit(a), lit(b)) for a, b in ((64, 128.8), (60, 240), (130, 132), (100, 104), (0, 100))])
+    assert list(risks) == [pytest.approx(0.0520833333), 1.0, pytest.approx(2 / 130 / 0.12), pytest.approx(4 / 100 / 0.12), None]
+
+
+def evidence(bpm=None, confidence=None, grid=None, candidates="[]", tag=None):
+    lit = lambda x: F.lit(x).cast("double")
+    return tempo.evidence(lit(bpm), lit(confidence), lit(grid), tempo.candidate_tempi(F.lit(candidates)), lit(tag))
+
+
+def test_tempo_evidence(spark):
+    cases = [
+        (evidence(120, 0.9, 0.25), (120.0, [120.0], "measured", math.sqrt(0.9 * 0.25))),
+        (evidence(120, 0.2, None, "[[120, 0.5], [90.0, 0.2], 60]", 91), (91.0, [120.0, 90.0, 60.0, 91.0], "tag_confirmed", 0.2)),
+        (evidence(120, 0.2, None, "not json", 80), (120.0, [120.0], "measured_low", 0.2)),
+        (evidence(120, None, None, "[90]", 90), (120.0, [120.0, 90.0], "measured_low", 0.0)),
+        (evidence(None, 0.9, 0.9, "[90]", 100), (100.0, [100.0], "tag", 1.0)),
+        (evidence(500, 0.9, None, "[90]", None), (None, [], None, 0.0)),
+    ]
+    for got, (bpm, alternatives, source, reliability) in zip(row_of(spark, *[c for c, _ in cases]), [w for _, w in cases], strict=True):
+        assert (got.bpm, got.alternatives, got.source) == (bpm, alternatives, source) and got.reliability == pytest.approx(reliability)
+    made = {"sure": evidence(128, 1.0), "unsure": evidence(128, 0.25), "unknown": evidence(128), "none": evidence(), "half": evidence(64, 1.0), "other": evidence(1e2, 0.81), "slow": evidence(60, 1.0), "fast": evidence(240, 1.0)}
+    sure, unsure, unknown, none, half, other, slow, fast = (F.col(n) for n in made)
+    row = spark.range(1).select(*[c.alias(n) for n, c in made.items()]).select(*[c.alias(f"c{i}") for i, c in enumerate([tempo.score(sure, half), tempo.score(sure, unsure), tempo.score(sure, unknown), tempo.score(sure, none), tempo.pair_reliability(other, unsure), tempo.score(slow, fast), tempo.target_score(sure, F.lit(64.0), 8.0), tempo.risk(sure, unknown)])]).first()
+    assert list(row) == [1.0, 0.75, 0.5, None, pytest.approx(0.45), 0.0, 0.0, 0.5]
+
+
+def test_transition_parts(spark):
+    null = F.lit(None).cast("double")
+    row = row_of(
+        spark,
+        transition.plain_key_risk(F.lit("8A"), F.lit("9A")), transition.plain_key_risk(F.lit("8A"), F.lit("2B")), transition.plain_key_risk(F.lit("odd"), F.lit(" ODD")),
+        transition.key_risk(F.lit("8A"), F.lit("9A"), null, null), transition.source_risk(F.lit(1), F.lit(4)), transition.source_risk(F.lit(1), F.lit(0)),
+        transition.grid_risk(F.lit(0.81), F.lit(1.0)), transition.grid_risk(F.lit(0.81), null), transition.missing_risk([F.lit(0.1), null, null]), transition.missing_risk([null, null]),
+        transition.vocal_risk(F.create_map(F.lit("Lead_Voice"), F.lit(0.2)), F.create_map(F.lit("Lead_Voice"), F.lit(0.7), F.lit("groove"), F.lit(1.0))),
+        transition.vocal_risk(F.create_map(F.lit("x"), F.lit(0.2)), F.create_map(F.lit("voice"), F.lit(0.7)), {"voice": 0.5}),
+        transition.feature_similarity(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(1.0)), True), X.camelot_relation(F.lit("8A"), F.lit("8B")),
+    )
+    want = [0.05, 0.8, 0.0, 0.05, 0.75, None, 0.1, None, 0.35 * 2 / 3, None, 0.5, 0.35, 1.0, "relative"]
+    assert [x if isinstance(x, str) or x is None else round(x, 9) for x in row] == [x if isinstance(x, str) or x is None else round(x, 9) for x in want]
+    parts = {"bpm": F.lit(0.2), "key": null, "energy": F.lit(0.8)}
+    assert one(spark, transition.total(parts)) == pytest.approx(0.5)
+    assert one(spark, transition.warnings(parts)) == ["missing_key", "high_energy"]
