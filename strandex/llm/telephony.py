@@ -3,10 +3,17 @@
 Bytes are stored as 8-bit mu-law samples in a RIFF/WAVE container, which is lossless: each payload
 byte is one sample code. Decoding expands codes through 256-entry tables, decodes 4-bit ADPCM with
 numpy across all blocks at once (one step per sample position, every block in parallel) and doubles
-the rate by linear interpolation.
+the rate by linear interpolation. The resampled 16-bit PCM is stored as a column of its own beside
+the payload's, and read back from there.
 
-Defined results: null text is an empty payload, padded like any other; equal payloads give equal
-media and features; an empty table gives an empty result; other columns are carried along unread.
+ADPCM files are read by their block size: each block begins with a predictor, a step index and a
+reserved byte, the predictor is the block's first sample, and only ``fact`` samples are kept. A last
+block that is cut short gives the samples it has.
+
+Defined results: null text is an empty payload, padded like any other; texts of any length are stored
+whole; equal payloads give equal media and features; an empty table gives an empty result; other
+columns are carried along unread. New columns come last; where the table has one of that name, the
+new one's gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -15,11 +22,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from strandex.runtime import fresh
 
@@ -118,30 +128,76 @@ def upsample2(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def wav(data: bytes, kind: int = MULAW, rate: int = RATE, bits: int = 8) -> bytes:
-    """A mono RIFF/WAVE file around ``data`` (padded to an even chunk, as the format asks)."""
+def wav(data: bytes, kind: int = MULAW, rate: int = RATE, bits: int = 8, block: int | None = None, samples: int | None = None) -> bytes:
+    """A mono RIFF/WAVE file around ``data`` (padded to an even chunk, as the format asks).
+
+    ``block`` is the size of a block, a sample's width unless given; ``samples`` how many ``data`` holds.
+    """
     width = max(1, bits // 8)
-    fmt = struct.pack("<HHIIHHH", kind, 1, rate, rate * width, width, bits, 0)
-    fact = struct.pack("<I", len(data) // width)
+    block = block or width
+    extra = struct.pack("<HH", 2, adpcm_samples(block)) if kind == IMA_ADPCM else struct.pack("<H", 0)
+    fmt = struct.pack("<HHIIHH", kind, 1, rate, rate * block // (adpcm_samples(block) if kind == IMA_ADPCM else 1), block, bits) + extra
+    fact = struct.pack("<I", len(data) // width if samples is None else samples)
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<I", 4) + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """(format, rate, bits, data) of a WAVE file, by walking its chunks."""
+@dataclass
+class Wave:
+    kind: int
+    channels: int
+    rate: int
+    block: int
+    bits: int
+    samples: int | None  # of the fact chunk
+    data: bytes
+
+
+def read_wav(media: bytes) -> Wave:
+    """Format and data of a WAVE file, by walking its chunks."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, kind, rate, bits = 12, 0, 0, 0
+    at, fmt, samples = 12, None, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            kind, _, rate, _, _, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            fmt = struct.unpack_from("<HHIIHH", media, at + 8)
+        elif name == b"fact" and size >= 4:
+            samples = struct.unpack_from("<I", media, at + 8)[0]
         elif name == b"data":
-            return kind, rate, bits, media[at + 8 : at + 8 + size]
+            if fmt is None:
+                raise ValueError("data before format")
+            kind, channels, rate, _, block, bits = fmt
+            return Wave(kind, channels, rate, block, bits, samples, media[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
     raise ValueError("no data chunk")
 
 
+HEADER = 4
+
+
+def adpcm_samples(block: int) -> int:
+    """Samples of one block: that of its header and two for each byte after it."""
+    return 1 + 2 * (block - HEADER)
+
+
+def decode_adpcm_file(data: bytes, block: int, samples: int | None = None) -> np.ndarray:
+    """16-bit samples of mono IMA blocks with their headers, all blocks at once."""
+    if block <= HEADER:
+        raise ValueError(f"a block of {block} bytes holds no samples")
+    whole, left = divmod(len(data), block)
+    parts = [np.frombuffer(data, np.uint8, whole * block).reshape(whole, block)]
+    if left > HEADER:
+        parts.append(np.frombuffer(data, np.uint8, left, whole * block).reshape(1, left))
+    out = []
+    for blocks in parts:
+        predictor = np.ascontiguousarray(blocks[:, :2]).view("<i2")[:, 0]
+        index = np.minimum(blocks[:, 2], len(_STEPS) - 1)
+        codes = decode_adpcm(np.ascontiguousarray(blocks[:, HEADER:]), predictor, index)
+        out.append(np.concatenate([predictor[:, None], codes], axis=1).astype(np.int16).ravel())
+    return np.concatenate(out)[:samples]
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     """(bytes of the text, those bytes padded with spaces to a positive multiple of 192)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -150,15 +206,16 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def pcm_of(media: bytes) -> tuple[np.ndarray, int]:
     """Stored media to 16-bit samples and their rate."""
-    kind, rate, bits, data = read_wav(media)
-    if kind in (MULAW, ALAW):
-        return expand(np.frombuffer(data, np.uint8), kind), rate
-    if kind == IMA_ADPCM:
-        blocks = np.frombuffer(data, np.uint8).reshape(-1, ADPCM_BLOCK)
-        return decode_adpcm(blocks).ravel(), rate
-    if kind == PCM and bits == 16:
-        return np.frombuffer(data, "<i2"), rate
-    raise ValueError(f"format {kind} with {bits} bits is not supported")
+    w = read_wav(media)
+    if w.channels != 1:
+        raise ValueError(f"{w.channels} channels are not supported")
+    if w.kind in (MULAW, ALAW) and w.bits == 8:
+        return expand(np.frombuffer(w.data, np.uint8), w.kind), w.rate
+    if w.kind == IMA_ADPCM and w.bits == 4:
+        return decode_adpcm_file(w.data, w.block, w.samples), w.rate
+    if w.kind == PCM and w.bits == 16:
+        return np.frombuffer(w.data, "<i2", len(w.data) // 2), w.rate
+    raise ValueError(f"format {w.kind} with {w.bits} bits is not supported")
 
 
 def resampled(media: bytes) -> bytes:
@@ -174,9 +231,10 @@ def _level(pcm: np.ndarray) -> str:
 
 
 def features(data_list: list[bytes]) -> list[str]:
-    """Per payload: level and zero crossings as mu-law, A-law and ADPCM, and a CRC of the doubled PCM.
+    """Per payload: level and zero crossings as mu-law, A-law and ADPCM codes.
 
-    ADPCM blocks of all payloads are decoded together; blocks start from a silent state.
+    ADPCM blocks of all payloads are decoded together; here blocks have no header and start from a
+    silent state, since any bytes may be read as codes.
     """
     blocks = [np.frombuffer(d, np.uint8) for d in data_list]
     counts = [len(b) // ADPCM_BLOCK for b in blocks]
@@ -184,13 +242,17 @@ def features(data_list: list[bytes]) -> list[str]:
     joined = np.concatenate(blocks).reshape(-1, ADPCM_BLOCK)
     decoded = decode_adpcm(joined)
     for codes, n in zip(blocks, counts, strict=True):
-        mu = expand(codes, MULAW)
-        doubled = zlib.crc32(upsample2(mu).astype("<i2").tobytes())
-        out.append(f"mu={_level(mu)};a={_level(expand(codes, ALAW))};ima={_level(decoded[first : first + n].ravel())};pcm{2 * RATE}={doubled:08x}")
+        out.append(f"mu={_level(expand(codes, MULAW))};a={_level(expand(codes, ALAW))};ima={_level(decoded[first : first + n].ravel())}")
         first += n
     return out
 
 
+def pcm_feature(pcm: bytes) -> str:
+    """Rate and a CRC of the samples of stored PCM."""
+    w = read_wav(pcm)
+    return f"pcm{w.rate}={zlib.crc32(w.data):08x}"
+
+
 CHUNK = 1 << 20
 
 
@@ -206,36 +268,49 @@ def _spans(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def to_media(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
-    """Adds the unpadded size and the stored form (a mu-law WAVE file, binary) of every text."""
+def to_media(docs: DataFrame, text: str = "text", n_bytes: str = "n_bytes", media: str = "media", pcm: str = "pcm") -> DataFrame:
+    """Adds three columns at the end: the unpadded size, the stored form of every text (a mu-law WAVE file), and its audio as PCM at twice the rate.
 
-    @F.pandas_udf("struct<n long, media binary>")
-    def store(texts: pd.Series) -> pd.DataFrame:
-        made = [payload_of(t) for t in texts]
-        return pd.DataFrame({"n": [n for n, _ in made], "media": [wav(p) for _, p in made]})
+    Batches leave in runs of about a MB of text, so that a task holds little at a time.
+    """
+    names = [fresh(docs, n) for n in (n_bytes, media, pcm)]
+    out = StructType([*docs.schema, StructField(names[0], LongType()), StructField(names[1], BinaryType()), StructField(names[2], BinaryType())])
+    at = docs.columns.index(text)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [payload_of(t) for t in batch.column(at).to_pylist()]
+            for span in _spans([len(p) for _, p in made]):
+                files = [wav(p) for _, p in made[span]]
+                new = [pa.array([n for n, _ in made[span]], pa.int64()), pa.array(files, pa.binary()), pa.array([resampled(m) for m in files], pa.binary())]
+                some = batch.slice(span.start, span.stop - span.start)
+                yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*some.schema.names, *names])
 
-    kept = fresh(docs, "__stored")
-    return docs.withColumn(kept, store(F.col(text))).withColumn(n_bytes, F.col(f"{kept}.n")).withColumn(media, F.col(f"{kept}.media")).drop(kept)
+    return docs.mapInArrow(store, out)
 
 
-READ = "struct<payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string>"
+READ = "struct<payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long>"
 
 
-def read_media(stored: DataFrame, media: str = "media", into: str = "read") -> DataFrame:
-    """Adds a struct of what the stored bytes hold: payload size and digests, and the features."""
+def read_media(stored: DataFrame, media: str | None = None, pcm: str | None = None, into: str = "read") -> DataFrame:
+    """Adds a struct at the end of what the stored bytes hold: payload size and digests, and the features of payload and PCM.
+
+    Unless named, media and PCM are the last two columns, as :func:`to_media` leaves them.
+    """
+    media, pcm = media or stored.columns[-2], pcm or stored.columns[-1]
 
     @F.pandas_udf(READ)
-    def read(column: pd.Series) -> pd.DataFrame:
-        kept = column.tolist()
+    def read(column: pd.Series, wide: pd.Series) -> pd.DataFrame:
+        kept, pcms = column.tolist(), wide.tolist()
         rows = []
         for span in _spans([len(m) for m in kept]):
             some = kept[span]
-            payloads = [read_wav(m)[3] for m in some]
-            for m, p, f in zip(some, payloads, features(payloads), strict=True):
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), f))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            payloads = [read_wav(m).data for m in some]
+            for m, p, f, w in zip(some, payloads, features(payloads), pcms[span], strict=True):
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{f};{pcm_feature(w)}", len(w)))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
 
-    return stored.withColumn(into, read(F.col(media)))
+    return stored.withColumn(fresh(stored, into), read(F.col(media), F.col(pcm)))
 
 
 def op3_telephony_media(spark, sf_dir: str) -> DataFrame:

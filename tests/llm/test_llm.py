@@ -306,36 +306,104 @@ def test_lm_learns_from_all_documents(spark):
 # --- 3 audio ---------------------------------------------------------------------------------------
 
 
+def g711_value(code, law):
+    """One code by the text of the recommendation: sign, three bits of segment, four of step."""
+    if law == "mu":
+        code ^= 0xFF
+        value = ((2 * (code & 15) + 33) << ((code >> 4) & 7)) - 33 << 2
+        return -value if code & 128 else value
+    code ^= 0x55
+    segment, step = (code >> 4) & 7, code & 15
+    value = (2 * step + 1 if segment == 0 else (2 * step + 33) << (segment - 1)) << 3
+    return value if code & 128 else -value
+
+
+STEPS = telephony.ima_steps().tolist()
+
+
+def ima_plain(codes, value=0, index=0):
+    """The samples of 4-bit codes, one after another."""
+    out = []
+    for c in codes:
+        step = STEPS[index]
+        change = (step >> 3) + (step >> 2) * (c & 1) + (step >> 1) * (c >> 1 & 1) + step * (c >> 2 & 1)
+        value = max(-32768, min(32767, value - change if c & 8 else value + change))
+        index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[c & 7]))
+        out.append(value)
+    return out
+
+
+def nibbles(data):
+    return [n for byte in data for n in (byte & 15, byte >> 4)]
+
+
+def brute_feature(payload):
+    def level(samples):
+        turns = sum((a < 0) != (b < 0) for a, b in zip(samples[1:], samples[:-1], strict=True))
+        return f"{int(math.sqrt(sum(x * x for x in samples) / len(samples)))}/{turns}"
+
+    mu, a = [[g711_value(c, law) for c in payload] for law in ("mu", "a")]
+    ima = [x for at in range(0, len(payload), 64) for x in ima_plain(nibbles(payload[at : at + 64]))]
+    wide = [x for i, v in enumerate(mu) for x in (v, (v + mu[min(i + 1, len(mu) - 1)]) >> 1)]
+    return f"mu={level(mu)};a={level(a)};ima={level(ima)};pcm16000={zlib.crc32(struct.pack(f'<{len(wide)}h', *wide)):08x}"
+
+
 def test_media(spark, docs):
-    for r in telephony.op3_telephony_media(spark, SF).join(docs.select("doc_id", "text"), "doc_id").collect():
+    rows = telephony.op3_telephony_media(spark, SF).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
         raw = r.text.encode()
         padded = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-        media = telephony.wav(padded)
+        # a WAVE file by hand: format 7, one channel, 8000 samples a second, 8 bits
+        media = struct.pack("<4sI4s4sIHHIIHHH4sII4sI", b"RIFF", 50 + len(padded), b"WAVE", b"fmt ", 18, 7, 1, 8000, 8000, 1, 8, 0, b"fact", 4, len(padded), b"data", len(padded)) + padded
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        if len(padded) < 4000:
+            assert r.feature == brute_feature(padded)
 
 
 def test_media_awkward(awkward, empty):
-    rows = telephony.read_media(telephony.to_media(awkward)).select("doc_id", "n_bytes", "read.*", "text").collect()
+    clashing = awkward.select("*", F.lit("mine").alias("media"), F.lit("too").alias("N_BYTES"), F.lit("r").alias("read"))
+    made = telephony.read_media(telephony.to_media(clashing))
+    rows = made.collect()
+    assert made.columns[:8] == clashing.columns and all((r["media"], r["N_BYTES"], r["read"]) == ("mine", "too", "r") for r in rows)
     by_text = collections.defaultdict(set)
     for r in rows:
-        assert r.payload_bytes % 192 == 0 and r.payload_bytes >= 192
-        by_text[r.text or ""].add((r.media_sha256, r.feature))
+        assert r.read_.payload_bytes % 192 == 0 and r.read_.payload_bytes >= 192
+        assert telephony.payload_of(r.text) == (r.n_bytes_, telephony.read_wav(bytes(r.media_)).data)
+        by_text[r.text or ""].add((r.read_.media_sha256, r.read_.feature))
     assert all(len(v) == 1 for v in by_text.values())
-    assert telephony.to_media(empty).count() == 0
+    assert telephony.read_media(telephony.to_media(empty)).count() == 0
 
 
 def test_codecs():
-    assert telephony.mulaw_table()[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
-    assert telephony.alaw_table()[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    assert telephony.mulaw_table().tolist() == [g711_value(c, "mu") for c in range(256)]
+    assert telephony.alaw_table().tolist() == [g711_value(c, "a") for c in range(256)]
     pcm = (np.sin(np.arange(512) / 9) * 9000).astype(np.int16).reshape(2, 256)
-    back = telephony.decode_adpcm(telephony.encode_adpcm(pcm))
+    codes = telephony.encode_adpcm(pcm)
+    back = telephony.decode_adpcm(codes)
+    assert back.tolist() == [ima_plain(nibbles(row.tobytes())) for row in codes]
     assert np.abs(back[:, 64:].astype(int) - pcm[:, 64:]).max() < 1500
     doubled = telephony.resampled(telephony.wav(bytes(range(256)) * 3))
     with wave.open(io.BytesIO(doubled)) as w:
         assert (w.getframerate(), w.getnframes(), w.getsampwidth()) == (16000, 1536, 2)
 
 
+def test_adpcm_files_keep_block_headers():
+    """Two whole blocks of 256 bytes, 505 samples each, and one that is cut short; fact leaves out the last samples."""
+    rng = np.random.default_rng(3)
+    heads = [(-1200, 30), (77, 0), (32767, 88)]
+    blocks = [struct.pack("<hBB", *head, 0) + rng.integers(0, 256, n, np.uint8).tobytes() for head, n in zip(heads, (252, 252, 50), strict=True)]
+    want = [x for (value, index), block in zip(heads, blocks, strict=True) for x in (value, *ima_plain(nibbles(block[4:]), value, index))]
+    assert len(want) == 2 * 505 + 101
+    for samples in (len(want), len(want) - 3):
+        file = telephony.wav(b"".join(blocks), telephony.IMA_ADPCM, bits=4, block=256, samples=samples)
+        got, rate = telephony.pcm_of(file)
+        assert got.tolist() == want[:samples] and rate == 8000
+    with pytest.raises(ValueError, match="holds no samples"):
+        telephony.decode_adpcm_file(b"1234", 4)
+
+
 # --- 4 mixing --------------------------------------------------------------------------------------
 
 
