@@ -27,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; what is written there is removed when the Python process ends."""
+    path = f"{shared_dir(spark)}/strandex-stage/{label}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_sweep)
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -34,10 +43,7 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     Staged tables are removed when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandex-stage/{label}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_sweep)
-    _staged.append(path)
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
