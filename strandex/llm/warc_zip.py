@@ -5,13 +5,18 @@ record its own gzip member), ``indexes/index.cdxj`` (one line a record: page id,
 ``datapackage.json``. The reader finds the end record, follows the ZIP64 locator where there is one,
 parses the central directory, locates the stored members, and reads each record by its own range.
 
-Archives travel as binary rows (id, content), so writing and reading them works in any store that
-Spark can reach; ``spark.read.format("binaryFile")`` gives real files the same shape.
+Archives are files below a folder that all executors share, written and read by the tasks through
+Arrow's file systems (local paths, HDFS, S3, GCS). A file is named by its content and only counts once
+its row is in the manifest, so an attempt that is lost leaves nothing that is read. Records are read
+by ranges: neighbours in the index in one request of about ``RANGE_BYTES``. For stores that Arrow does
+not know, archives can travel as binary rows (id, content) instead.
 
 Defined results: null html is an empty payload; of rows with equal payloads those with the smallest
 page id are responses and the others revisit it; rows without a page id revisit a page that has one,
-and are responses where none has; line breaks in a URL are dropped; a null URL is empty; other
-columns are ignored; an empty table gives an empty result.
+and are responses where none has; line breaks in a URL are dropped; a null URL is empty; pages of any
+length are one record; a page id that is no whole number is read back as null; an archive that is
+listed twice gives its records twice; other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +32,16 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandex.runtime import stage
+from strandex.runtime import shared_path, stage
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 ARCHIVE_BYTES = 8 << 20
+RANGE_BYTES = 1 << 20
+ARCHIVES_A_TASK = 8
 DATE = "2000-01-01T00:00:00Z"
 MIN_REVISIT_BYTES = 0
 
@@ -98,15 +106,11 @@ class ZipRanges:
         return cls(lambda at, n: bytes(view[at : at + n]), len(content))
 
     @classmethod
-    def of_file(cls, path: str) -> ZipRanges:
-        file = open(path, "rb")  # noqa: SIM115  kept open for later ranges
-        size = file.seek(0, 2)
-
-        def read_at(at: int, n: int) -> bytes:
-            file.seek(at)
-            return file.read(n)
-
-        return cls(read_at, size)
+    def of_file(cls, uri: str) -> ZipRanges:
+        """A path, or a URI of a store that Arrow knows."""
+        system, path = fs.FileSystem.from_uri(uri)
+        file = system.open_input_file(path)
+        return cls(lambda at, n: file.read_at(n, at), file.size())
 
     def _end_record(self) -> tuple[int, int, int]:
         """(entries, size, offset) of the central directory."""
@@ -181,12 +185,27 @@ def parse_record(member: bytes) -> dict:
     return {"version": lines[0], "headers": headers, "http": fields, "payload": payload}
 
 
-def read_records(zip_file: ZipRanges) -> Iterator[dict]:
-    """Every record that the index names, each read by its own range."""
+def _runs(entries: list[tuple[int, int]], most: int) -> Iterator[list[tuple[int, int]]]:
+    """Entries (offset, length) that lie one after another, in runs of up to ``most`` bytes."""
+    run: list[tuple[int, int]] = []
+    for offset, length in entries:
+        if run and (offset != run[-1][0] + run[-1][1] or offset + length - run[0][0] > most):
+            yield run
+            run = []
+        run.append((offset, length))
+    if run:
+        yield run
+
+
+def read_records(zip_file: ZipRanges, range_bytes: int = RANGE_BYTES) -> Iterator[dict]:
+    """Every record that the index names, neighbours in one range."""
     start, _ = zip_file.locate(DATA)
-    for line in zip_file.read(INDEX).decode().splitlines():
-        entry = json.loads(line.partition(" ")[2])
-        yield parse_record(zip_file.read_at(start + entry["offset"], entry["length"]))
+    lines = [json.loads(line.partition(" ")[2]) for line in zip_file.read(INDEX).decode().splitlines()]
+    for run in _runs([(entry["offset"], entry["length"]) for entry in lines], range_bytes):
+        first, end = run[0][0], run[-1][0] + run[-1][1]
+        held = zip_file.read_at(start + first, end - first)
+        for offset, length in run:
+            yield parse_record(held[offset - first : offset - first + length])
 
 
 def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
@@ -199,64 +218,119 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
+def _archives(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[bytes]:
+    """ZIPs of about ``archive_bytes`` from (page_id, url, payload, refers_to), made in one pass."""
+    records: list[tuple[int | None, bytes]] = []
+    held = 0
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "refers_to")]
+        for i in range(batch.num_rows):
+            page_id, url, payload, refers_to = (c[i].as_py() for c in columns)
+            member = warc_record(page_id, url, payload, refers_to)
+            if records and held + len(member) > archive_bytes:
+                yield build_archive(records)
+                records, held = [], 0
+            records.append((page_id, member))
+            held += len(member)
+    if records:
+        yield build_archive(records)
+
+
 def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive_id, content): ZIPs of about ``archive_bytes``, each made in one pass over its rows."""
+    """(archive_id, content): the archives as binary rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records: list[tuple[int | None, bytes]] = []
-        held = 0
+        for content in _archives(batches, archive_bytes):
+            yield pa.RecordBatch.from_pydict({"archive_id": [hashlib.sha1(content).hexdigest()], "content": pa.array([content], pa.binary())})
 
-        def flush() -> pa.RecordBatch:
-            content = build_archive(records)
-            return pa.RecordBatch.from_pydict({"archive_id": [hashlib.sha1(content).hexdigest()], "content": pa.array([content], pa.binary())})
+    return rows.mapInArrow(pack, "archive_id string, content binary")
 
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "refers_to")]
-            for i in range(batch.num_rows):
-                page_id, url, payload, refers_to = (c[i].as_py() for c in columns)
-                member = warc_record(page_id, url, payload, refers_to)
-                if records and held + len(member) > archive_bytes:
-                    yield flush()
-                    records, held = [], 0
-                records.append((page_id, member))
-                held += len(member)
-        if records:
-            yield flush()
 
-    return rows.mapInArrow(pack, "archive_id string, content binary")
+def write_files(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(uri, bytes) of the archives written below ``folder``, which all executors must share.
+
+    Run it once, by staging or collecting the result: that is the manifest of what is to be read.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        for content in _archives(batches, archive_bytes):
+            name = f"{hashlib.sha1(content).hexdigest()}.wacz"
+            # another attempt writes the same bytes to the same place, so it is moved there whole
+            part = f"{path}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as file:
+                file.write(content)
+            system.move(part, f"{path}/{name}")
+            yield pa.RecordBatch.from_pydict({"uri": [f"{folder}/{name}"], "bytes": [len(content)]})
+
+    return rows.mapInArrow(pack, "uri string, bytes long")
 
 
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
+def _whole_number(text: str | None) -> int | None:
+    return int(text) if text is not None and text.removeprefix("-").isdecimal() and text.isascii() else None
+
+
+def _record_rows(archive: ZipRanges, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Records as rows. Digests of responses are recomputed and must match their headers."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = [f.split(" ")[0] for f in RECORDS.split(", ")]
+    out = []
+    for record in read_records(archive):
+        headers = record["headers"]
+        named = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+        response = headers["WARC-Type"] == "response"
+        size = len(record["payload"]) if response else int(record["http"]["Content-Length"])
+        if response and digest32(record["payload"]) != named:
+            raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
+        out.append((_whole_number(headers.get("X-Page-Id")), headers["WARC-Target-URI"], headers["WARC-Type"], size, named, _whole_number(headers.get("X-Refers-To-Page-Id")), record["payload"] if response and payloads else None))
+    columns = list(zip(*out, strict=True)) or [[]] * len(names)
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """One row per record. Digests of responses are recomputed and must match their headers."""
+    """One row per record of archives in binary rows (content)."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(batch.schema.get_field_index("content")):
-                out = []
-                for record in read_records(ZipRanges.of_bytes(content.as_py())):
-                    headers = record["headers"]
-                    named = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    response = headers["WARC-Type"] == "response"
-                    size = len(record["payload"]) if response else int(record["http"]["Content-Length"])
-                    if response and digest32(record["payload"]) != named:
-                        raise ValueError(f"payload of {headers['WARC-Record-ID']} does not match its digest")
-                    number = lambda key: int(headers[key]) if key in headers else None  # noqa: B023, E731
-                    out.append((number("X-Page-Id"), headers["WARC-Target-URI"], headers["WARC-Type"], size, named, number("X-Refers-To-Page-Id"), record["payload"] if response and payloads else None))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-                names = [f.split(" ")[0] for f in RECORDS.split(", ")]
-                columns = list(zip(*out, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                yield from _record_rows(ZipRanges.of_bytes(content.as_py()), payloads)
 
     return archives.mapInArrow(unpack, RECORDS)
 
 
+def read_files(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """One row per record of the archives named in ``manifest`` (uri), read by ranges where they are."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(batch.schema.get_field_index("uri")):
+                yield from _record_rows(ZipRanges.of_file(uri.as_py()), payloads)
+
+    n = manifest.count()
+    tasks = max(1, -(-n // ARCHIVES_A_TASK), min(n, manifest.sparkSession.sparkContext.defaultParallelism))
+    return manifest.repartition(tasks).mapInArrow(unpack, RECORDS)
+
+
+def _arrow_knows(folder: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
 def op10_warc_zip(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    archives = stage(write_archives(with_revisits(pages)), "warc")
-    return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = with_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    folder = shared_path(spark, "wacz")
+    if _arrow_knows(folder):
+        records = read_files(stage(write_files(rows, folder), "warc"), payloads=False)
+    else:
+        records = read_archives(stage(write_archives(rows), "warc"), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = r"""
