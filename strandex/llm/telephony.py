@@ -25,11 +25,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from strandex.runtime import fresh
 
@@ -268,6 +267,11 @@ def _spans(sizes: list[int]) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def _sizes(column: pa.Array) -> list[int]:
+    """Bytes of each text or binary; null has none."""
+    return [n or 0 for n in pc.binary_length(column).to_pylist()]
+
+
 def to_media(docs: DataFrame, text: str = "text", n_bytes: str = "n_bytes", media: str = "media", pcm: str = "pcm") -> DataFrame:
     """Adds three columns at the end: the unpadded size, the stored form of every text (a mu-law WAVE file), and its audio as PCM at twice the rate.
 
@@ -279,40 +283,46 @@ def to_media(docs: DataFrame, text: str = "text", n_bytes: str = "n_bytes", medi
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [payload_of(t) for t in batch.column(at).to_pylist()]
-            for span in _spans([len(p) for _, p in made]):
-                files = [wav(p) for _, p in made[span]]
-                new = [pa.array([n for n, _ in made[span]], pa.int64()), pa.array(files, pa.binary()), pa.array([resampled(m) for m in files], pa.binary())]
+            for span in _spans(_sizes(batch.column(at))):
                 some = batch.slice(span.start, span.stop - span.start)
+                made = [payload_of(t) for t in some.column(at).to_pylist()]
+                files = [wav(p) for _, p in made]
+                new = [pa.array([n for n, _ in made], pa.int64()), pa.array(files, pa.binary()), pa.array([resampled(m) for m in files], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*some.schema.names, *names])
 
     return docs.mapInArrow(store, out)
 
 
-READ = "struct<payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long>"
+READ = (("payload_bytes", LongType(), pa.int64()), ("payload_sha256", StringType(), pa.string()), ("tail_crc32", LongType(), pa.int64()), ("media_bytes", LongType(), pa.int64()), ("media_sha256", StringType(), pa.string()), ("feature", StringType(), pa.string()), ("pcm_bytes", LongType(), pa.int64()))
 
 
-def read_media(stored: DataFrame, media: str | None = None, pcm: str | None = None, into: str = "read") -> DataFrame:
+def read_media(stored: DataFrame, media: str | None = None, pcm: str | None = None, into: str = "read", keep: list[str] | None = None) -> DataFrame:
     """Adds a struct at the end of what the stored bytes hold: payload size and digests, and the features of payload and PCM.
 
-    Unless named, media and PCM are the last two columns, as :func:`to_media` leaves them.
+    Unless named, media and PCM are the last two columns, as :func:`to_media` leaves them. Other
+    columns stay, or those of ``keep``; leaving out the media themselves saves their way back.
     """
-    media, pcm = media or stored.columns[-2], pcm or stored.columns[-1]
+    media_at, pcm_at = (stored.columns.index(c) if c else len(stored.columns) - back for c, back in ((media, 2), (pcm, 1)))
+    kept = [i for i, c in enumerate(stored.columns) if keep is None or c in keep]
+    name, names = fresh(stored, into), [stored.columns[i] for i in kept]
+    out = StructType([*[stored.schema[i] for i in kept], StructField(name, StructType([StructField(n, t) for n, t, _ in READ]))])
 
-    @F.pandas_udf(READ)
-    def read(column: pd.Series, wide: pd.Series) -> pd.DataFrame:
-        kept, pcms = column.tolist(), wide.tolist()
-        rows = []
-        for span in _spans([len(m) for m in kept]):
-            some = kept[span]
-            payloads = [read_wav(m).data for m in some]
-            for m, p, f, w in zip(some, payloads, features(payloads), pcms[span], strict=True):
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{f};{pcm_feature(w)}", len(w)))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for span in _spans(_sizes(batch.column(media_at))):
+                some = batch.slice(span.start, span.stop - span.start)
+                files, rows = some.column(media_at).to_pylist(), []
+                payloads = [read_wav(m).data for m in files]
+                for m, p, f, w in zip(files, payloads, features(payloads), some.column(pcm_at), strict=True):
+                    w = w.as_py()
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{f};{pcm_feature(w)}", len(w)))
+                columns = [pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), READ, strict=True)]
+                made = pa.StructArray.from_arrays(columns, names=[n for n, _, _ in READ])
+                yield pa.RecordBatch.from_arrays([*[some.column(i) for i in kept], made], names=[*names, name])
 
-    return stored.withColumn(fresh(stored, into), read(F.col(media), F.col(pcm)))
+    return stored.mapInArrow(read, out)
 
 
 def op3_telephony_media(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return read_media(to_media(docs)).select("doc_id", "n_bytes", "read.*")
+    return read_media(to_media(docs), keep=["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "read.*")
