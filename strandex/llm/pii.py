@@ -3,16 +3,23 @@
 The patterns give the base spans. The model, trained in numpy from labelled spans of a bounded sample
 (``MAX_TRAIN_DOCS`` documents in hash order), reads overlapping windows of character classes, is
 decoded by Viterbi, and its windows are reconciled per document: every character takes the tag of the
-window in which it lies furthest from an edge. A decoded span is added if it has the form of its kind
-(digit counts, Luhn, parts up to 255) and touches no base span and no earlier added one. This finds
-what a greedy pattern swallows, such as two card numbers in a row.
+window in which it lies furthest from an edge.
 
-Every kind's form holds a digit or an ``@``, so windows are laid around these characters with
+It finds what the patterns miss. Its labelled spans are those of the sample's documents as they
+stand, the same rewritten as people hide or mistype them (``rewritten``: bracketed at and dot, spaced
+addresses, other separators in cards and phones), several in a row, which a greedy pattern swallows,
+and secrets, a fifth kind: long keys of mixed letters and digits, labelled where a name such as
+``token`` is assigned one, found wherever they stand. A decoded span is added if it is plausible
+(:func:`plausible`: enough digits, Luhn, parts up to 255, a separator or sign in a phone) and
+touches no base span and no earlier added one.
+
+Every kind holds a digit, an ``@`` or a bracketed at, so windows are laid around these with
 ``MARGIN`` characters of context; the rest of a text cannot hold a span.
 
-Defined results: null and empty texts have no spans; offsets are code points, ends exclusive;
-repeated rows get equal results; without labelled spans in the sample the model adds nothing; an
-empty table gives an empty result; extra columns are kept.
+Defined results: null and empty texts have no spans; texts of any length are read whole; offsets are
+code points, ends exclusive; repeated rows get equal results; without labelled spans in the sample
+the model adds nothing; an empty table gives an empty result; extra columns are kept, and the new
+one comes last (with underscores at its end where its name is taken).
 """
 
 from __future__ import annotations
@@ -29,19 +36,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandex.llm.sample import hash_sample
+from strandex.runtime import fresh
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 TAGS = 1 + 2 * len(KINDS)  # other, then begin and inside of each kind
 WIDTH, STRIDE, MARGIN = 96, 64, 24
 EMBED, HIDDEN = 10, 16
-MAX_TRAIN_DOCS, STEPS, BATCH = 1_500, 120, 48
+MAX_TRAIN_DOCS, STEPS, BATCH = 1_500, 400, 48
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({] ?(?:at|AT|At) ?[\])}]")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api_?key|access_?key)\b[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/=_-]{24,})")
+_NAMED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api_?key|access_?key)\b[\"']?\s*[:=]\s*[\"']?$")
 _EMAIL_FORM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -89,7 +101,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[Span]:
     """The patterns' spans by start, then kind. Matches that fail a check are dropped."""
-    if not _TRIGGER.search(text):
+    if not _DIGIT.search(text):
         return []
     spans = [(s, 0, e) for s, e in _emails(text)]
     for kind, pattern in ((1, _IP), (2, _CARD), (3, _PHONE)):
@@ -97,6 +109,32 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans)
 
 
+_AT, _DOT = r"(?:@|[\[({] ?at ?[\])}])", r"(?:\.|[\[({] ?(?:dot|\.) ?[\])}])"
+_LOOSE = (
+    re.compile(rf"[A-Za-z0-9._%+-]+ ?{_AT} ?[A-Za-z0-9-]+(?: ?{_DOT} ?[A-Za-z0-9-]+)+", re.IGNORECASE),
+    re.compile(rf"[0-9]{{1,3}}(?: ?{_DOT} ?[0-9]{{1,3}}){{3}}"),
+    re.compile(r"[0-9](?:[ ._/-]{0,3}[0-9])+"),
+    re.compile(r"[+(\[]{0,2} ?[0-9](?:[][ ().+/_-]{0,3}[0-9])+"),
+    re.compile(r"[A-Za-z0-9+/=_-]{24,}"),
+)
+
+
+def plausible(kind: int, s: str) -> bool:
+    """Whether a decoded string can be of a kind, however it is written."""
+    if not _LOOSE[kind].fullmatch(s):
+        return False
+    digits = _digits(s)
+    if kind == 1:
+        return all(int(p) <= 255 for p in re.findall(r"[0-9]+", s))
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == 3:
+        return 9 <= len(digits) <= 15 and len(s) > len(digits)
+    if kind == 4:
+        return len(digits) >= 4 and sum(c.isalpha() for c in s) >= 4
+    return True
+
+
 def digest(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -281,9 +319,10 @@ def windows_of(text: str) -> tuple[list[int], np.ndarray]:
 
 
 def form_spans(text: str) -> list[Span]:
-    """Spans for training: by form alone (a card need not pass Luhn), and none that overlaps another."""
+    """Spans for training: by form alone (a card need not pass Luhn), secrets, and none that overlaps another."""
     out: list[Span] = []
-    for s, k, e in sorted([(s, 0, e) for s, e in _emails(text)] + [(m.start(), k, m.end()) for k, pattern in ((1, _IP), (2, _CARD), (3, _PHONE)) for m in pattern.finditer(text)], key=lambda x: (x[0], -x[2])):
+    secrets = [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)]
+    for s, k, e in sorted(secrets + [(s, 0, e) for s, e in _emails(text)] + [(m.start(), k, m.end()) for k, pattern in ((1, _IP), (2, _CARD), (3, _PHONE)) for m in pattern.finditer(text)], key=lambda x: (x[0], -x[2])):
         n = len(_digits(text[s:e]))
         if (k == 2 and not 12 <= n <= 19) or (k == 3 and not 9 <= n <= 15) or (out and s < out[-1][2]):
             continue
@@ -291,8 +330,29 @@ def form_spans(text: str) -> list[Span]:
     return out
 
 
+def rewritten(kind: int, value: str, rng: np.random.Generator) -> str:
+    """A span as people hide or mistype it; the patterns do not find these forms."""
+    pick = lambda *ways: ways[int(rng.integers(len(ways)))]
+    if kind == 0:
+        user, host = value.split("@", 1)
+        at = pick("[at]", " [at] ", "(at)", " (at) ", " @ ", "{at}")
+        dot = pick(".", " [dot] ", "[dot]", "(dot)", " . ")
+        return f"{user}{at}{host.replace('.', dot)}"
+    if kind == 1:
+        return value.replace(".", pick(" . ", "[.]", "(.)", ". ", " [dot] "))
+    digits = _digits(value)
+    if kind == 2:
+        return pick(".", "/", "  ", "_", " - ").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == 3:
+        country, area, first, last = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+        if not country:
+            return f"({area}) {first}-{last}"
+        return pick(f"{country}-{area}-{first}-{last}", f"({area}) {first}-{last}", f"+{country}/{area}/{first}/{last}", f"+ {country} {area} {first} {last}", f"+{country} [{area}] {first}-{last}")
+    return value
+
+
 def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tag paths: spans in place, and spans put next to each other, as greedy patterns miss them."""
+    """Windows and tag paths: spans in place, in place but rewritten, alone, and next to each other."""
     rng, windows, paths, pool = np.random.default_rng(seed), [], [], []
 
     def add(text: str, spans: list[Span]) -> None:
@@ -308,6 +368,18 @@ def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarra
         spans = form_spans(text)
         pool += [(k, text[s:e], text[max(0, s - 30) : s], text[e : e + 30]) for s, k, e in spans]
         add(text, spans)
+        if spans:  # the same text with its spans rewritten, and secrets without the name before them
+            for _ in range(2):
+                made, moved, at = "", [], 0
+                for s, k, e in spans:
+                    before = text[at:s]
+                    if k == 4:
+                        before = _NAMED.sub("", before)
+                    value = rewritten(k, text[s:e], rng)
+                    made += before
+                    moved.append((len(made), k, len(made) + len(value)))
+                    made, at = made + value, e
+                add(made + text[at:], moved)
     if not pool:
         return np.empty((0, WIDTH), np.int8), np.empty((0, WIDTH), np.int8)
     # kinds in equal shares, so that rare ones are seen in every pairing
@@ -317,6 +389,7 @@ def training_set(texts: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarra
         parts = [by_kind[k][rng.integers(len(by_kind[k]))] for k in rng.choice(able, rng.integers(1, 4))]
         text, spans = parts[0][2], []
         for k, value, _, _ in parts:
+            value = rewritten(k, value, rng) if rng.random() < 0.4 else value
             spans.append((len(text), k, len(text) + len(value)))
             text += value + " "
         add(text[:-1] + parts[-1][3], spans)
@@ -379,7 +452,7 @@ def added_spans(text: str, tags: dict[int, int], base: list[Span]) -> list[Span]
     taken = [(s, e) for s, _, e in base]
     out: list[Span] = []
     for s, k, e in spans:
-        if valid(k, text[s:e]) and not any(s < b and a < e for a, b in taken):
+        if plausible(k, text[s:e]) and not any(s < b and a < e for a, b in taken):
             out.append((s, k, e))
             taken.append((s, e))
     return out
@@ -408,11 +481,11 @@ def find_spans(texts: list, model: Model) -> list[tuple[list[Span], list[Span]]]
     return out
 
 
-FOUND = "struct<n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long>"
+FOUND = "struct<n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, added_email long, added_ip long, added_card long, added_phone long, added_secret long, n_spans long>"
 
 
 def with_spans(docs: DataFrame, model: Model, text: str = "text", into: str = "pii") -> DataFrame:
-    """Adds counts and digest of the base spans, and all spans."""
+    """Adds counts and digest of the base spans, all spans, and how many of each kind the model added."""
 
     @F.pandas_udf(FOUND)
     def found(texts: pd.Series) -> pd.DataFrame:
@@ -420,11 +493,12 @@ def with_spans(docs: DataFrame, model: Model, text: str = "text", into: str = "p
         values = texts.tolist()
         for i in range(0, len(values), 500):
             for base, added in find_spans(values[i : i + 500], model):
-                counts = [sum(1 for _, k, _ in base if k == kind) for kind in range(len(KINDS))]
-                out.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(sorted(base + added)), len(added)))
-        return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                counts = [sum(1 for _, k, _ in base if k == kind) for kind in range(len(BASE))]
+                more = [sum(1 for _, k, _ in added if k == kind) for kind in range(len(KINDS))]
+                out.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(sorted(base + added)), len(added), *more, len(base) + len(added)))
+        return pd.DataFrame(out, columns=[f.split(" ")[0] for f in FOUND.removeprefix("struct<").removesuffix(">").split(", ")])
 
-    return docs.withColumn(into, found(F.col(text)))
+    return docs.withColumn(fresh(docs, into), found(F.col(text)))
 
 
 def train_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_TRAIN_DOCS) -> Model:
@@ -437,7 +511,7 @@ def train_on(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_do
         texts = sorted(t for batch in batches for t in batch["value"])
         yield pd.DataFrame({"params": [pickle.dumps(train(texts).params)]})
 
-    able = docs.where(F.col(text).rlike(r"@|[0-9][ ().0-9-]{7}"))
+    able = docs.where(F.col(text).rlike(r"@|[0-9][ ().0-9-]{7}|[0-9a-f]{24}"))
     sample = hash_sample(able, F.xxhash64(text), F.col(text), max_docs)
     trained = sample.mapInPandas(fit, "params binary").collect()
     return Model(pickle.loads(trained[0].params) if trained else None)
