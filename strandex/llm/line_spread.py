@@ -8,8 +8,9 @@ altogether, and goes everywhere else.
 
 Defined results: null text stays null and has no lines; an empty text is one empty line; a null site
 is not counted as a site; where no document with the line has an id, it stays in all of them; rows
-equal in id and text are treated alike; an empty table gives an empty result; input columns are kept
-whatever their names.
+equal in id and text are treated alike; texts and lines of any length are read whole; an empty table gives
+an empty result; input columns are kept, and the count of lines comes last (with underscores at its
+name's end where that is taken).
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
 
 def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", removed: str = "n_removed", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and the number of lines taken out."""
+    removed = fresh(docs, removed)
     lines = stage(hashed_lines(docs, doc_id, text, site, min_words), "lslines")
     found = lines.join(boilerplate(lines, min_sites), ["h1", "h2"]).where(F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper")))
     row, ident, gone = fresh(docs, "__row"), fresh(docs, "__id"), fresh(docs, "__gone")

@@ -41,6 +41,11 @@ def _row_hash(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit(""))))
 
 
+def bucket_of(key: Column) -> Column:
+    """Buckets in the order of keys. Their steps widen with the key, so that low weights do not pile up in the last one."""
+    return F.floor(key / (1.0 + key) * BUCKETS).cast("int")
+
+
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, source, size, h, key, bucket): what sampling needs to know of each document."""
     size = doc_size(F.col(text))
@@ -53,7 +58,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     )
     u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
     out = out.withColumn("key", -F.log(u) / F.col("w")).drop("w")
-    return out.withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+    return out.withColumn("bucket", bucket_of(F.col("key")))
 
 
 def targets(sizes: DataFrame, weight_cycle: tuple[int, ...] = WEIGHT_CYCLE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -136,7 +141,7 @@ def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own), F.struct(size.alias("size"), quality_weight(F.col(text), size).alias("w"), _row_hash(F.col(doc_id), F.col(text)).alias("h"), F.col(source).cast("string").alias("src")).alias(facts))
     flat = whole.select(own, f"{facts}.*")
     u = (F.conv(F.substring("h", 1, 13), 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(1 << 52))
-    flat = flat.withColumn("key", -F.log(u) / F.col("w")).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+    flat = flat.withColumn("key", -F.log(u) / F.col("w")).withColumn("bucket", bucket_of(F.col("key")))
     joined = flat.join(plan.withColumnRenamed("src", "plan_src"), F.col("src").eqNullSafe(F.col("plan_src")))
     times = F.when(F.col("size") == 0, 1).otherwise(_copies(F.col("key"), F.col("h"), F.col("bucket"))).cast("int")
     return joined.select(own, F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(f"{own}.*")

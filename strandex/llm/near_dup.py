@@ -8,20 +8,25 @@
    the first ``BASE_DEPTH`` values form a region; a region of more than ``LEAF`` classes is split one
    value deeper, and again, while there are values (adaptive depth). Each class is paired with the
    first class of its deepest region, and that one with the first of the region around it.
-3. Pairs are confirmed on the full shingle sets, and links are closed to components.
+3. Pairs are confirmed on the full shingle sets, and links are closed to components. A class with
+   many partners meets them in chunks of ``PARTNERS`` or fewer, so its set is not copied to each of them and no
+   task holds them all.
 4. Regions that still hold several components are searched again: each class with its nearest
    neighbours of another component in the sorted order.
 5. What is left goes to an exact pass: regions that still hold several components are dealt into
-   blocks, and blocks are compared two by two, so no region is ever in one task. A pair is taken up in
-   the first tree whose region it shares, unless the estimate from ``WIDE`` further hashes is
-   ``SIGMAS`` standard deviations below the threshold. So every pair that shares a region is either
-   confirmed, refuted, or already in one component; nothing is capped.
+   blocks, and blocks are compared two by two, so no region is ever in one task. Blocks grow with the
+   region, from 2,000 to 16,000 classes, so that a region of m classes is copied m / 16,000 times at
+   most. A pair is taken up in the first tree whose region it shares, unless the estimate from
+   ``WIDE`` further hashes is ``SIGMAS`` standard deviations below the threshold (three looks, at 64,
+   256 and 1024 hashes, so a pair at the very threshold is lost with a chance of about 1e-5). So every
+   pair that shares a region is either confirmed, refuted by its sets or that estimate, or already in
+   one component; nothing is capped.
 
 A pair at the threshold shares a prefix in at least one of the 20 trees with a chance of
 1 - (1 - s^4)^20: 0.9999996 at 0.85 and 0.99997 at 0.8; closer pairs are surer.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with
-nothing; a text with fewer words than a shingle is one shingle; rows without an id belong to their
+nothing; texts of any length are read whole; a text with fewer words than a shingle is one shingle; rows without an id belong to their
 class and take its smallest id; repeated rows get equal results; an empty table gives an empty one;
 extra columns never matter.
 """
@@ -36,20 +41,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandex import runtime
 from strandex.llm.wordhash import Words, chunks, mix, random_words, words_of
 from strandex.operators.graph import connected_components
-from strandex.runtime import fresh, stage
+from strandex.runtime import drop_staged, fresh, stage
 
 TREES = 20
 BASE_DEPTH = 4
 FULL_DEPTH = 8
 LEAF = 32
 HASHES = TREES * BASE_DEPTH
-ROWS_A_TASK = 400_000
+BYTES_A_TASK = 24 << 20
 WIDE = 1024
 SIGMAS = 4.5
 WINDOW = 8
-BLOCK = 2_000
+BLOCK, LARGEST_BLOCK = 2_000, 16_000
+PARTNERS, CHUNK_SHINGLES = 32, 1 << 19
 
 _ODD = random_words(HASHES, 7) | np.uint64(1)
 _WIDE_ODD = random_words(WIDE, 23) | np.uint64(1)
@@ -114,8 +121,8 @@ def set_keys(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[0], keys[1]
 
 
-def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, a, b, sig) of every row."""
+def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, a, b, sig) of every row, and its columns ``keep``."""
 
     @F.pandas_udf("struct<n long, a long, b long, sig binary>")
     def prints(texts: pd.Series) -> pd.DataFrame:
@@ -127,9 +134,10 @@ def fingerprints(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: st
             parts.append(pd.DataFrame({"n": np.diff(first), "a": a, "b": b, "sig": [row.tobytes() for row in sig]}))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["n", "a", "b", "sig"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), prints(F.col(text)).alias("p")).select("doc_id", "p.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), *keep, prints(F.col(text)).alias("p")).select("doc_id", *keep, "p.*")
 
 
+ENTRY_BYTES = 60
 ENTRIES = "tree int, k1 long, k2 long, cid long, n long, comp long"
 
 
@@ -147,9 +155,10 @@ def tree_entries(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "n", "comp", "sig").mapInPandas(expand, ENTRIES)
 
 
-def in_order(entries: DataFrame, rows: int) -> DataFrame:
+def in_order(entries: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Entries range-partitioned and sorted, in as many tasks as their bytes ask for."""
     spark = entries.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * row_bytes // BYTES_A_TASK))
     by = ["tree", "k1", "k2", "cid"]
     return entries.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
@@ -277,25 +286,40 @@ def _block_pairs(percent: int):
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs whose full sets reach the threshold."""
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.zeros(len(left), bool)
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([p, q])
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            out[i] = 100 * shared >= percent * (len(both) - shared)
+    @F.pandas_udf("array<long>")
+    def linked(own: pd.Series, partners: pd.Series) -> pd.Series:
+        out = []
+        for x, some in zip(own, partners, strict=True):
+            p, kept = np.frombuffer(x, np.uint64), []
+            for partner in some:
+                q = np.frombuffer(partner["theirs"], np.uint64)
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")  # two sorted runs, which are merged
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * shared >= percent * (len(both) - shared):
+                    kept.append(partner["other"])
+            out.append(kept)
         return pd.Series(out)
 
-    left = sets.select(F.col("cid").alias("a"), F.col("members").alias("left"))
-    right = sets.select(F.col("cid").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(linked("left", "right")).select("a", "b")
+    # the end with more partners is the hub; its partners meet it in chunks
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("d")).join(sets.select("cid", "n"), "cid")
+    # partners of a pair are of like size, so the hub's tells how many fit a chunk
+    degrees = degrees.withColumn("fit", F.least(F.lit(PARTNERS), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_SHINGLES) / F.col("n")))))
+    of = lambda end: degrees.select(F.col("cid").alias(end), F.col("d").alias(f"d_{end}"), F.col("fit").alias(f"fit_{end}"))
+    ends = pairs.join(of("a"), "a").join(of("b"), "b")
+    hub = F.col("d_a") >= F.col("d_b")
+    ends = ends.select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("other"), F.when(hub, F.ceil(F.col("d_a") / F.col("fit_a"))).otherwise(F.ceil(F.col("d_b") / F.col("fit_b"))).alias("chunks"))
+    ends = ends.withColumn("chunk", F.pmod(F.xxhash64("other"), F.col("chunks")))
+    other = sets.select(F.col("cid").alias("other"), F.col("members").alias("theirs"))
+    met = ends.join(other, "other").groupBy("hub", "chunk").agg(F.collect_list(F.struct("other", "theirs")).alias("partners"))
+    own = sets.select(F.col("cid").alias("hub"), F.col("members").alias("own"))
+    found = met.join(own, "hub").select("hub", F.explode(linked("own", "partners")).alias("other"))
+    return found.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
 
 
 @contextmanager
-def _small_batches(spark, rows: int = 1_000):
-    """Arrow batches of few rows, since a row here may hold two full shingle sets."""
+def _small_batches(spark, rows: int = 100):
+    """Arrow batches of few rows, since a row here may hold many full shingle sets."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, rows)
@@ -305,36 +329,45 @@ def _small_batches(spark, rows: int = 1_000):
         spark.conf.set(name, before)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, stage) -> DataFrame:
     with _small_batches(pairs.sparkSession):
         return stage(_confirm(pairs, sets, percent), "ndlinks")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per input row, with its columns ``keep``.
 
     Two documents are linked where 100 * shared >= percent * united over their distinct shingles.
     """
-    base = stage(fingerprints(docs, shingle, doc_id, text), "ndbase")
+    base = stage(fingerprints(docs, shingle, doc_id, text, keep), "ndbase")
     grouped = base.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stage(grouped.withColumn("cid", F.monotonically_increasing_id()), "ndclass")
-    labels = _class_components(docs, classes, shingle, percent, doc_id, text)
+    used: list[DataFrame] = []
+    labels = _class_components(docs, classes, shingle, percent, doc_id, text, used)
     if labels is None:
         named = classes.where("copies > 1").select("a", "b", F.col("first_doc").alias("component_id"))
     else:
         whole = classes.join(labels, "cid", "left").select("a", "b", "copies", "first_doc", F.coalesce("comp", "cid").alias("comp"), F.col("comp").isNotNull().alias("linked"))
         firsts = whole.where("linked").groupBy("comp").agg(F.min("first_doc").alias("component_first"))
         named = whole.where("linked or copies > 1").join(firsts, "comp", "left").select("a", "b", F.coalesce("component_first", "first_doc").alias("component_id"))
-    out = base.join(stage(named.withColumn("named", F.lit(True)), "ndnamed"), ["a", "b"], "left")
+    named = stage(named.withColumn("named", F.lit(True)), "ndnamed")
+    for table in (classes, *used):
+        drop_staged(table)
+    out = base.join(named, ["a", "b"], "left")
     component = F.when(F.col("named") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), *keep)
 
 
-def _class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame | None:
-    """(cid, comp) of the classes that are linked with another one; None where there are none."""
+def _class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, doc_id: str, text: str, used: list[DataFrame]) -> DataFrame | None:
+    """(cid, comp) of the classes that are linked with another one; None where there are none. ``used`` gets the staged tables."""
+
+    def stage(df: DataFrame, label: str) -> DataFrame:
+        used.append(runtime.stage(df, label))
+        return used[-1]
+
     rows = classes.count() * TREES
     own = classes.withColumn("comp", F.col("cid"))
-    regions = stage(in_order(tree_entries(own), rows).mapInPandas(_leaders, REGION_ROWS), "ndregions")
+    regions = stage(in_order(tree_entries(own), rows, ENTRY_BYTES).mapInPandas(_leaders, REGION_ROWS), "ndregions")
     borders = regions.where("kind = 2")
     meet = borders.groupBy("tree", "k1").agg(F.min("cid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     meet = borders.join(meet, ["tree", "k1"]).where("cid <> m").join(classes.select(F.col("cid").alias("m"), F.col("n").alias("m_n")), "m")
@@ -348,27 +381,28 @@ def _class_components(docs: DataFrame, classes: DataFrame, shingle: int, percent
     sets = stage(_sets_of(docs, some, shingle, doc_id, text), "ndsets")
     pairs = tied.where(100 * F.least("n", "o") >= percent * F.greatest("n", "o")).select("a", "b")
     tested = stage(pairs.distinct(), "ndtested")
-    links = _links(tested, sets, percent)
-    now = _relabel(some.select("cid", "n", "sig", F.col("cid").alias("comp")), links)
+    links = _links(tested, sets, percent, stage)
+    now = _relabel(some.select("cid", "n", "sig", F.col("cid").alias("comp")), links, stage)
 
-    near = _mixed_regions(now, sets)
+    near = _mixed_regions(now, sets, stage)
     if near is not None:
-        found = stage(in_order(near.drop("members"), near.count()).mapInPandas(_neighbours(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "ndnear")
-        now = _relabel(now, _links(found, sets, percent))
+        found = stage(in_order(near.drop("members"), near.count(), ENTRY_BYTES + 2 * HASHES + WIDE).mapInPandas(_neighbours(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "ndnear")
+        now = _relabel(now, _links(found, sets, percent, stage), stage)
         tested = tested.unionAll(found)
-        rest = _mixed_regions(now, sets)
+        rest = _mixed_regions(now, sets, stage)
         if rest is not None:
-            blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+            size = F.least(F.lit(LARGEST_BLOCK), F.greatest(F.lit(BLOCK), F.col("members") / 8))
+            blocks = F.ceil(F.col("members") / size).cast("int")
             dealt = rest.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             dealt = dealt.select("tree", "k1", "cid", "n", "comp", "sig", "wide", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
             found = stage(dealt.groupBy("tree", "k1", "lo", "hi").applyInPandas(_block_pairs(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"), "ndrest")
-            now = _relabel(now, _links(found, sets, percent))
+            now = _relabel(now, _links(found, sets, percent, stage), stage)
     sizes = now.groupBy("comp").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return now.join(sizes, "comp").select("cid", "comp")
 
 
-def _relabel(now: DataFrame, links: DataFrame) -> DataFrame:
+def _relabel(now: DataFrame, links: DataFrame, stage) -> DataFrame:
     """``now`` with components closed over further links between classes."""
     if links.isEmpty():
         return now
@@ -378,7 +412,7 @@ def _relabel(now: DataFrame, links: DataFrame) -> DataFrame:
     return stage(now.join(merged, F.col("comp") == F.col("node"), "left").select("cid", "n", "sig", F.coalesce("component", "comp").alias("comp")), "ndnow")
 
 
-def _mixed_regions(now: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _mixed_regions(now: DataFrame, sets: DataFrame, stage) -> DataFrame | None:
     """Entries, with signatures, of the regions that hold several components; None where there are none."""
     entries = tree_entries(now)
     mixed = entries.groupBy("tree", "k1").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
@@ -390,7 +424,7 @@ def _mixed_regions(now: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(cid, members, wide): the full shingle set of each wanted class, from a row with its smallest id."""
+    """(cid, n, members, wide): the full shingle set of each wanted class, from a row with its smallest id."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -400,23 +434,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, doc_id: str, text
                 a, b = set_keys(sets, first)
                 wide = wide_signatures(sets, first)
                 right = np.flatnonzero((a == rows["a"].to_numpy()) & (b == rows["b"].to_numpy()))
-                yield pd.DataFrame({"cid": rows["cid"].to_numpy()[right], "members": [sets[first[i] : first[i + 1]].tobytes() for i in right], "wide": [wide[i].tobytes() for i in right]})
+                yield pd.DataFrame({"cid": rows["cid"].to_numpy()[right], "n": np.diff(first)[right], "members": [sets[first[i] : first[i + 1]].tobytes() for i in right], "wide": [wide[i].tobytes() for i in right]})
 
     ids = wanted.select("first_doc", "a", "b", "cid")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("first_doc")))
-    made = rows.select("text", "a", "b", "cid").mapInPandas(make, "cid long, members binary, wide binary")
-    return made.groupBy("cid").agg(F.first("members").alias("members"), F.first("wide").alias("wide"))
+    made = rows.select("text", "a", "b", "cid").mapInPandas(make, "cid long, n long, members binary, wide binary")
+    return made.groupBy("cid").agg(F.first("n").alias("n"), F.first("members").alias("members"), F.first("wide").alias("wide"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with its own columns: that with the smallest id.
 
-    Rows that share an id are one document, so all of them stay if it stays.
+    Rows go by id and text together: of two texts that share an id, or have none, only the one that is
+    another's copy goes. Rows equal in both are one document and stay or go together.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), shingle, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    name = fresh(docs, "__gone")
-    gone = stage(gone.withColumnRenamed("gone_id", name), "ndgone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    name, seal = fresh(docs, "__gone"), fresh(docs, "__seal")
+    sealed = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias(seal))
+    gone = near_duplicates(sealed, shingle, percent, keep=(seal,)).where("not kept").select(F.col("doc_id").alias(name), seal).distinct()
+    gone = stage(gone, "ndgone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)) & F.md5(F.col("text").cast("binary")).eqNullSafe(F.col(seal)), "left_anti")
 
 
 def op8_lsh_forest(spark, sf_dir: str) -> DataFrame:

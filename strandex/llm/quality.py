@@ -10,7 +10,8 @@ Some rules come first and always reject: fewer than 20 words, or more than 30 %
 
 Defined results: null and empty texts have no words, fail the base rules and are not kept; without
 trusted documents every ratio is 0 and the base rules decide alone; repeated rows get equal verdicts;
-an empty table gives an empty result; extra columns are kept as they are, whatever their names.
+texts of any length are read whole; an empty table gives an empty result; extra columns are kept as
+they are, and the verdict comes last (with underscores at its name's end where that is taken).
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def annotate(docs: DataFrame, ratio: np.ndarray, text: str = "text", into: str =
     def verdict(texts: pd.Series) -> pd.DataFrame:
         return judge(texts.tolist(), ratio, threshold)
 
-    return docs.withColumn(into, verdict(F.col(text)))
+    return docs.withColumn(fresh(docs, into), verdict(F.col(text)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,35 +1,42 @@
 """Toxicity from a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and full-width forms to Latin ones,
-drops invisible characters, and reads digits and signs inside words as the letters they stand for.
+Folding lower-cases, takes styled letters (bold, circled, full-width, small capitals) and look-alike
+letters of other scripts for Latin ones, drops accents and invisible characters, and reads digits and
+signs inside words as the letters they stand for.
 Entries are word beginnings with a weight (their log odds among labelled documents); an entry counts
 where it starts a word. Exception phrases, an entry with the word before or after it that is found in
 clean documents only, cancel the matches they cover. A document's score is logistic in its weighted
 matches and in their rate per word.
 
 Lexicon, exceptions and the two coefficients are learned from at most ``MAX_LABELLED`` labelled
-documents in hash order (the only bounded part), without those that are held out. Scoring covers
-whole texts of all documents.
+documents and ``MAX_LABELLED_BYTES`` of text in hash order (the only bounded part), without those that
+are held out, in one task. Scoring covers whole texts of all documents.
 
 Defined results: null and empty texts have no match and get the score of a clean text; without
 labels, or with one class only, the lexicon is empty and every score is the smoothed share of toxic
-labels; repeated rows get equal scores; an empty table gives an empty result; extra columns are kept.
+labels; repeated rows get equal scores; texts and gaps between words of any length are read whole; an empty
+table gives an empty result; extra columns are kept, and the score comes last (with underscores at its
+name's end where that is taken).
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 8_000
+from strandex.runtime import fresh, stage
+
+MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 64 << 20
 MIN_DOCS = 4
 MIN_LOG_ODDS = 2.0
 PREFIX = (4, 10)
@@ -37,26 +44,26 @@ EXCEPTION_DOCS = 3
 CUT = 0.7
 
 # fixed values: letters of other scripts that look like Latin ones, and the Latin letters
-LOOKALIKES = "абвгеёкмнорстухіјѕԁԛԝαβεικνορτυχγοօո"
-LATIN_FOR = "a6breekmhopctyxijsdqwabeiknoptuxyoon"
+LOOKALIKES = "абвгекмнорстухіјѕԁԛԝһӏαβεικνορτυχγοօոսցıɑɡɩʟɴʀʏᴀʙᴄᴅᴇꜰɢʜɪᴊᴋᴍᴏᴘꜱᴛᴜᴠᴡᴢłøđ"
+LATIN_FOR = "a6brekmhopctyxijsdqwhlabeiknoptuxyoonugiagilnryabcdefghijkmopstuvwzlod"
 # fixed values: digits and signs used for letters inside words
-SIGNS = "0134578@$"
-LETTER_FOR = "oieastbas"
+SIGNS = "0134578@$!"
+LETTER_FOR = "oieastbasi"
 
 _FOLD = {ord(a): b for a, b in zip(LOOKALIKES, LATIN_FOR, strict=True)}
-_FOLD |= {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
 _FOLD |= dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, _FOLD))) + "]")
+_MARKS = re.compile("[\u0300-\u036f\u20d0-\u20f0]+")
 _SIGN = str.maketrans(SIGNS, LETTER_FOR)
-_WITH_SIGN = re.compile(r"[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![\w.@])")
+_WITH_SIGN = re.compile(r"[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![\w.@])|(?<=[^\W\d_])!(?=[^\W\d_])")
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     """The text as the lexicon sees it."""
     low = (text or "").lower()
-    if not low.isascii() and _ODD.search(low):
-        low = unicodedata.normalize("NFC", low).translate(_FOLD)
+    if not low.isascii():
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low)).lower().translate(_FOLD)
     return _WITH_SIGN.sub(lambda m: m.group().translate(_SIGN), low) if _WITH_SIGN.search(low) else low
 
 
@@ -90,15 +97,27 @@ def matches(folded: str, machine, exceptions: frozenset) -> list[tuple[int, floa
         return [(s, w) for s, (_, w) in found.items()]
     kept = []
     for start, (_, weight) in found.items():
-        word = _WORD.match(folded, start)
-        after = _WORD.search(folded, word.end(), word.end() + 64) if word else None
-        before = _WORD.findall(folded, max(0, start - 64), start)
-        own = word.group() if word else ""
-        if not ((before and (before[-1], own) in exceptions) or (after and (own, after.group()) in exceptions)):
+        before, own, after = neighbours(folded, start)
+        if (before, own) not in exceptions and (own, after) not in exceptions:
             kept.append((start, weight))
     return kept
 
 
+def neighbours(folded: str, start: int) -> tuple[str, str, str]:
+    """The word before, the word at and the word after a place; empty where there is none."""
+    own = _WORD.match(folded, start)
+    if own is None:
+        return "", "", ""
+    after = _WORD.search(folded, own.end())
+    end = start
+    while end and not _LETTER.match(folded, end - 1):
+        end -= 1
+    first = end
+    while first and _LETTER.match(folded, first - 1):
+        first -= 1
+    return folded[first:end], own.group(), after.group() if after else ""
+
+
 def measures(found: list[tuple[int, float]], n_words: int) -> tuple[float, float]:
     """Weighted matches, and their rate per hundred words (of twenty at least), both damped."""
     total = sum(w for _, w in found)
@@ -155,10 +174,9 @@ def _exceptions(folded: list[str], toxic: np.ndarray, lexicon: Lexicon) -> tuple
     for text, y in zip(folded, toxic, strict=True):
         own = set()
         for start, _ in matches(text, machine, none):
-            word = _WORD.match(text, start)
-            before, after = _WORD.findall(text, max(0, start - 64), start), _WORD.search(text, word.end(), word.end() + 64)
-            own |= {(before[-1], word.group())} if before else set()
-            own |= {(word.group(), after.group())} if after else set()
+            before, word, after = neighbours(text, start)
+            own |= {(before, word)} if before else set()
+            own |= {(word, after)} if after else set()
         pairs[int(y)].update(own)
     return tuple(sorted(p for p, n in pairs[0].items() if n >= EXCEPTION_DOCS and p not in pairs[1]))
 
@@ -198,7 +216,7 @@ def with_scores(docs: DataFrame, lexicon: Lexicon, text: str = "text", into: str
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(score_texts(texts.tolist(), lexicon))
 
-    return docs.withColumn(into, score(F.col(text)))
+    return docs.withColumn(fresh(docs, into), score(F.col(text)))
 
 
 def fold_of(doc_id, parts: int = 3):
@@ -206,16 +224,30 @@ def fold_of(doc_id, parts: int = 3):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[tuple[str | None, int]]:
-    """Texts with labels that may be learned from, at most ``max_labelled`` in hash order."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES) -> DataFrame:
+    """(doc_id, text, toxic) to learn from, one row an id: in hash order, ``max_labelled`` ids and ``max_bytes`` at most."""
     able = labels.where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 1)
     able = able.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(able), "doc_id").select("doc_id", "text", "toxic")
-    return [(r.text, int(r.toxic)) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text or ""))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(able), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = stage(rows, "toxlabelled")
+    # a few thousand rows by their bound, so one task may add up their sizes
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("upto", upto).where(F.col("upto") <= max_bytes).drop("upto")
+
+
+def learn_on(docs: DataFrame, labels: DataFrame, **bounds) -> Lexicon:
+    """The lexicon of the labelled sample, learned in one task; the driver receives the lexicon alone."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(i), t, int(y)) for batch in batches for i, t, y in zip(batch["doc_id"], batch["text"].where(batch["text"].notna(), ""), batch["toxic"], strict=True))
+        yield pd.DataFrame({"lexicon": [pickle.dumps(learn([(t, y) for _, t, y in rows]))]})
+
+    got = labelled_sample(docs, labels, **bounds).coalesce(1).mapInPandas(fit, "lexicon binary").collect()
+    return pickle.loads(got[0].lexicon) if got else learn([])
 
 
 def op7_toxic_lexicon(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = with_scores(docs, learn(labelled_sample(docs, labels)))
+    scored = with_scores(docs, learn_on(docs, labels))
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
