@@ -302,7 +302,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series(out)
 
     # the end with more partners is the hub; its partners meet it in chunks
-    degrees = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("d")).join(sets.select("cid", "n"), "cid")
+    ends_of = lambda end: pairs.groupBy(F.col(end).alias("cid")).agg(F.count(F.lit(1)).alias("d"))
+    degrees = ends_of("a").unionAll(ends_of("b")).groupBy("cid").agg(F.sum("d").alias("d")).join(sets.select("cid", "n"), "cid")
     # partners of a pair are of like size, so the hub's tells how many fit a chunk
     degrees = degrees.withColumn("fit", F.least(F.lit(PARTNERS), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_SHINGLES) / F.col("n")))))
     of = lambda end: degrees.select(F.col("cid").alias(end), F.col("d").alias(f"d_{end}"), F.col("fit").alias(f"fit_{end}"))
