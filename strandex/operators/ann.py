@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.operators.dedup import signatures
-from strandex.operators.vectors import dot
+from strandex.operators.vectors import dot, nearest
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,8 @@ def search(items: DataFrame, index: DataFrame, spec: IndexSpec, queries: DataFra
 
 
 def exact(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """The same by comparing every query with every item, in blocks where the queries are too many to broadcast."""
-    q = queries.select(F.col(key).alias("query"), F.col("v").alias("qv"))
-    scored = items.crossJoin(q).where(F.col(key) != F.col("query")).select("query", key, dot(F.col("v"), F.col("qv")).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The same by comparing every query with every item, in blocks."""
+    return nearest(items, queries, k, key)
 
 
 def recall(found: DataFrame, truth: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -8,6 +8,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandex.operators.ranks import numbered
+from strandex.runtime import fresh
+
 RRF_K = 60
 
 
@@ -52,6 +55,14 @@ def average_rank(by: list[str], order) -> Column:
     return F.rank().over(w.orderBy(order)) + (peers - 1) / 2
 
 
+def with_average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the mean rank of their value in a column, over the whole table; counted by value first."""
+    value, upto, n = fresh(rows, "__value"), fresh(rows, "__upto"), fresh(rows, "__n")
+    levels = rows.groupBy(F.col(column).alias(value)).agg(F.count(F.lit(1)).alias(n))
+    ranks = numbered(levels, [F.col(value)], fresh(rows, "__level"), {upto: n}).select(value, (F.col(upto) - (F.col(n) - 1) / 2).alias(name))
+    return rows.join(ranks, F.col(column).eqNullSafe(F.col(value))).drop(value)
+
+
 def agreement(ranked: DataFrame, k: int = 10, seed: str = "seed", item: str = "vec_id") -> DataFrame:
     """Per pair of sources: overlap and Jaccard of the first k, and rank correlation, averaged over seeds."""
     top = ranked.where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.functions.expr import bin_index
+from strandex.operators.ranks import numbered
 
 RELEVANT = 2
 
@@ -89,17 +90,15 @@ def auc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
 def average_precision(rows: DataFrame) -> DataFrame:
     """Step-wise area under precision and recall, ties taken together."""
     levels = rows.groupBy("p").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = levels.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
+    run = numbered(levels, [F.desc("p")], "level", {"tp": "pos", "seen": "n"})
     return run.agg((F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")).alias("average_precision"))
 
 
 def operating_points(rows: DataFrame) -> DataFrame:
     """Best recall where precision is at least 0.8, and best precision where recall is at least 0.8."""
     levels = rows.groupBy("p").agg(F.sum("y").cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = levels.agg(F.sum("pos").alias("all"))
-    run = levels.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w)).crossJoin(F.broadcast(total))
+    run = numbered(levels, [F.desc("p")], "level", {"tp": "pos", "seen": "n"}).crossJoin(F.broadcast(total))
     run = run.withColumn("precision", F.col("tp") / F.col("seen")).withColumn("recall", F.col("tp") / F.col("all"))
     return run.agg(F.max(F.when(F.col("precision") >= 0.8, F.col("recall"))).alias("recall_at_precision"), F.max(F.when(F.col("recall") >= 0.8, F.col("precision"))).alias("precision_at_recall"))
 

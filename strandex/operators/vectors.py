@@ -1,9 +1,12 @@
-"""Exact vector search with built-in functions: dot products, centroids, filters, ranked results."""
+"""Exact vector search: dot products, centroids, filters, ranked results, and neighbours of many queries in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,54 @@ def literal(values) -> Column:
     return F.array(*[F.lit(float(x)) for x in values])
 
 
+MAX_BANK = 256
+ITEM_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def _blocks(rows: DataFrame, key: str, size: int, prefix: str) -> DataFrame:
+    """Rows of up to ``size`` vectors each, scaled to length 1: ids and one matrix as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                some = batch.iloc[at : at + size]
+                matrix = np.stack(some["v"].to_numpy()).astype(np.float64)
+                size_of = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+                matrix /= np.where(size_of > 0, size_of, 1.0)
+                yield pd.DataFrame({f"{prefix}_ids": [some[key].to_numpy(np.int64).tobytes()], f"{prefix}_matrix": [matrix.tobytes()]})
+
+    return rows.select(key, "v").mapInPandas(pack, f"{prefix}_ids binary, {prefix}_matrix binary")
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """(query, key, score, rank): the ``k`` items with the largest cosine to each query, itself left out.
+
+    Every query meets every item, block by block: one matrix product for each pair of blocks, of which
+    only the best ``k`` a query leave the task. So a table of n items and q queries moves n * q / 1024
+    vectors and k * q * n / 4096 results, and no task holds more than two blocks.
+    """
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, matrix, wanted, asked in zip(batch["i_ids"], batch["i_matrix"], batch["q_ids"], batch["q_matrix"], strict=True):
+                ids, wanted = np.frombuffer(ids, np.int64), np.frombuffer(wanted, np.int64)
+                scores = np.frombuffer(asked).reshape(len(wanted), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T
+                scores[wanted[:, None] == ids] = -np.inf
+                rounded = np.round(scores, 9)
+                least = np.partition(rounded, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(wanted), -2.0)
+                row, col = np.nonzero((rounded >= least[:, None]) & np.isfinite(scores))
+                order = np.lexsort((ids[col], -rounded[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(wanted)))
+                best = np.arange(len(row)) - first[row] < k
+                yield pd.DataFrame({"query": wanted[row[best]], key: ids[col[best]], "score": scores[row[best], col[best]]})
+
+    pairs = _blocks(items, key, ITEM_BLOCK, "i").crossJoin(_blocks(queries, key, QUERY_BLOCK, "q"))
+    scored = pairs.mapInPandas(multiply, f"query long, `{key}` long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), key)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 @dataclass(frozen=True)
 class SearchFilters:
     """Options of a ranked search, checked before a plan is built."""
@@ -105,7 +156,9 @@ def contrast_scores(items: DataFrame, positive: DataFrame, negative: DataFrame,
     """Cosine to the positive centroid less a weighted mean of the two largest cosines to negatives."""
     if weight < 0:
         raise ValueError("weight must not be negative")
-    bank = negative.agg(F.collect_list("v").alias("bank"))  # a prompt bank: a handful of vectors
+    if negative.limit(MAX_BANK + 1).count() > MAX_BANK:
+        raise ValueError(f"a negative bank holds {MAX_BANK} vectors at most")
+    bank = negative.agg(F.collect_list("v").alias("bank"))
     rows = items.crossJoin(F.broadcast(centroid(positive))).crossJoin(F.broadcast(bank))
     sims = F.slice(F.sort_array(F.transform("bank", lambda n: dot(F.col("v"), n)), asc=False), 1, 2)
     worst = F.aggregate(sims, F.lit(0.0), lambda s, x: s + x) / F.size(sims)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandex.functions import expr as X
 from strandex.operators import library as L
+from strandex.operators.ranks import numbered
 from strandex.plans.base import registrar
 from strandex.plans.views import CLASSIFIER, FEATURES, LIKES, TRACKS, classifier_scores, features, likes, r6, read, tracks
 
@@ -186,12 +187,13 @@ def keyset(spark, sf):
 
 @query("t6_liked_order", f"WITH {LIKES} SELECT track_id, row_number() OVER (ORDER BY liked_at DESC, track_id) AS rank FROM likes")
 def liked_order(spark, sf):
-    return likes(spark, sf).select("track_id", F.row_number().over(Window.orderBy(F.desc("liked_at"), "track_id")).alias("rank"))
+    return numbered(likes(spark, sf), [F.desc("liked_at"), F.col("track_id")]).select("track_id", "rank")
 
 
 @query("t8_seeded_order", f"WITH {TRACKS} SELECT track_id, row_number() OVER (ORDER BY substr(sha256('42:' || track_id), 1, 16), track_id) AS rank FROM tracks")
 def seeded_order(spark, sf):
-    return tracks(spark, sf).select("track_id", F.row_number().over(Window.orderBy(X.tie_token(42, F.col("track_id")), "track_id")).alias("rank"))
+    tokens = tracks(spark, sf).select("track_id", X.tie_token(42, F.col("track_id")).alias("token"))
+    return numbered(tokens, [F.col("token"), F.col("track_id")]).select("track_id", "rank")
 
 
 @query("t12_keeper_choice", "SELECT lower(p_name) AS name, arg_min(p_partkey, (-p_size, -p_retailprice, p_partkey)) AS keeper FROM part GROUP BY 1")

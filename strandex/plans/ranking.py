@@ -249,8 +249,9 @@ def operating_points(spark, sf):
 @query("a40_spearman_lift", f"WITH {PRED}, r AS (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS rn, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rp, rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0::DOUBLE AS rt FROM pred) SELECT round(corr(rp, rt), 6) AS spearman, round(avg(y) FILTER (WHERE rn <= 100) / avg(y), 6) AS lift FROM r")
 def spearman(spark, sf):
     p = predictions(spark, sf)
-    r = p.select("y", fusion.average_rank([], F.col("p")).alias("rp"), fusion.average_rank([], F.col("toxic")).alias("rt"), F.row_number().over(Window.orderBy(F.desc("p"), "doc_id")).alias("rn"))
-    return r.agg(r6(F.corr("rp", "rt")).alias("spearman"), r6(F.avg(F.when(F.col("rn") <= 100, F.col("y"))) / F.avg("y")).alias("lift"))
+    ranked = fusion.with_average_ranks(fusion.with_average_ranks(p, "p", "rp"), "toxic", "rt")
+    top = p.orderBy(F.desc("p"), "doc_id").limit(100).agg(F.avg("y").alias("top"))
+    return ranked.agg(r6(F.corr("rp", "rt")).alias("spearman"), F.avg("y").alias("mean")).crossJoin(top).select("spearman", r6(F.col("top") / F.col("mean")).alias("lift"))
 
 
 @query("a41_a42_best_variant", f"WITH {SOURCES}, m AS (SELECT source, avg(score) AS mean FROM src GROUP BY 1) SELECT source, round(mean, 6) AS mean, round(mean - (SELECT mean FROM m WHERE source = 'full'), 6) AS delta, mean = (SELECT max(mean) FROM m) AS best FROM m")

@@ -108,21 +108,19 @@ PRED = "pred AS (SELECT doc_id, source, least(1.0::DOUBLE, n_chars / 20000) AS p
 def sources(spark, sf):
     """Three rankings of the nearest 20 vectors for every seed (ids divisible by 50), by whole and half vectors.
 
-    The seeds grow with the table, so the planner broadcasts them only below its size limit and else
-    compares block by block.
+    They are made block by block and staged once, so what reads them several times does not make them again.
     """
     from strandex.operators import vectors
+    from strandex.runtime import stage
 
     e = embeddings(spark, sf)
     halves = {"full": F.col("v"), "left": F.slice("v", 1, 32), "right": F.slice("v", 33, 32)}
     parts = []
     for name, v in halves.items():
-        own = e.select("vec_id", vectors.normalise(v).alias("v"))
-        seeds = own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("sv"))
-        scored = own.crossJoin(seeds).where("vec_id <> seed").select("seed", "vec_id", vectors.dot(F.col("v"), F.col("sv")).alias("score"))
-        w = Window.partitionBy("seed").orderBy(F.desc(F.round("score", 9)), "vec_id")
-        parts.append(scored.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("seed", F.lit(name).alias("source"), "vec_id", "rank", "score"))
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+        own = e.select("vec_id", v.alias("v"))
+        near = vectors.nearest(own, own.where("vec_id % 50 = 0"), 20)
+        parts.append(near.select(F.col("query").alias("seed"), F.lit(name).alias("source"), "vec_id", "rank", "score"))
+    return stage(parts[0].unionAll(parts[1]).unionAll(parts[2]), "sources")
 
 
 SOURCES = """emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

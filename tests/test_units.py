@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import expr as X
-from strandex.operators import ann, dedup, fusion, library, metrics, tempo, transition, vectors
+from strandex.operators import ann, dedup, fusion, library, metrics, ranks, tempo, transition, vectors
 from strandex.operators.graph import connected_components
 from strandex.plans import ranking, studies
 from strandex.sources import tables
@@ -228,3 +228,31 @@ def test_transition_parts(spark):
     parts = {"bpm": F.lit(0.2), "key": null, "energy": F.lit(0.8)}
     assert one(spark, transition.total(parts)) == pytest.approx(0.5)
     assert one(spark, transition.warnings(parts)) == ["missing_key", "high_energy"]
+
+
+def test_numbered_equals_one_window(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 11, float(i % 5)) for i in range(500)], "id int, x int, w double").repartition(7)
+    got = {r.id: (r["rank"], r.upto) for r in ranks.numbered(rows, [F.desc("x"), F.col("id")], running={"upto": "w"}).collect()}
+    order, total = sorted(range(500), key=lambda i: (-((i * 37) % 11), i)), 0.0
+    for n, i in enumerate(order, 1):
+        total += i % 5
+        assert got[i] == (n, total)
+    assert ranks.numbered(rows.limit(0), [F.col("id")]).count() == 0
+    averaged = fusion.with_average_ranks(rows, "x", "r").collect()
+    assert all(r.r == pytest.approx(sum(1 for i in range(500) if (i * 37) % 11 < r.x) + (sum(1 for i in range(500) if (i * 37) % 11 == r.x) + 1) / 2) for r in averaged)
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 16)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 8)
+    data = {i: [math.sin(i * j + 1.0) for j in range(1, 6)] for i in range(90)} | {200 + i: [1.0, 2.0, 3.0, 4.0, 5.0] for i in range(30)} | {500: [0.0] * 5}
+    rows = spark.createDataFrame(list(data.items()), "vec_id long, v array<double>").repartition(3)
+    unit = {i: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v] for i, v in data.items()}
+    got = {}
+    for r in vectors.nearest(rows, rows.where("vec_id % 5 = 0"), 7).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [i for i in sorted(data) if i % 5 == 0]
+    for q, found in got.items():
+        score = {i: sum(a * b for a, b in zip(unit[i], unit[q], strict=True)) for i in data if i != q}
+        want = sorted(score, key=lambda i: (-round(score[i], 9), i))[:7]
+        assert [i for _, i, _ in sorted(found)] == want
