@@ -30,6 +30,22 @@ def normalise(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNull(), None).when(high == low, F.lit(0.5)).otherwise(clamp01((x - low) / (high - low)))
 
 
+def denormalise(x: Column, low: Column, high: Column) -> Column:
+    """The value at a position in [low, high]."""
+    return low + clamp01(x) * (high - low)
+
+
+def unit_interval(x: Column, epsilon: float = 1e-6) -> Column:
+    """``x`` clamped to [0, 1] if it lies within ``epsilon`` of it, bounds taken in single precision; else null."""
+    low, high = (F.lit(b).cast("float").cast("double") for b in (-epsilon, 1 + epsilon))
+    return F.when(finite(x).between(low, high), clamp01(x))
+
+
+def component(values: Column, index: int) -> Column:
+    """One finite number of an array by its place from 0; null where there is none."""
+    return finite(F.try_element_at(values, F.lit(index + 1)).cast("double"))
+
+
 def numeric_similarity(a: Column, b: Column) -> Column:
     return 1 - F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
 

@@ -85,6 +85,17 @@ def keepers(members: DataFrame, key: str, *order) -> DataFrame:
     return members.groupBy("group_id").agg(F.min_by(key, F.struct(*order)).alias("keeper"), F.count(F.lit(1)).alias("members"))
 
 
+def report_statistics(candidates: DataFrame, groups: DataFrame, key: str = "id") -> DataFrame:
+    """One row: candidates, distinct items, safe ones and others, and groups by confidence.
+
+    ``candidates`` has (key, safe), ``groups`` one row a group with its confidence.
+    """
+    safe = F.coalesce(F.col("safe"), F.lit(False))
+    c = candidates.agg(F.count(F.lit(1)).alias("candidate_count"), F.count_distinct(key).alias("duplicate_count"), F.count(F.when(safe, 1)).alias("safe_count"), F.count(F.when(~safe, 1)).alias("review_count"))
+    g = groups.agg(*[F.count(F.when(F.col("confidence") == n, 1)).alias(f"{n}_groups") for n in ("high", "medium", "review")])
+    return c.crossJoin(F.broadcast(g))
+
+
 def safe_candidates(members: DataFrame, chosen: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Members other than the keeper, safe only where a direct edge leads to the keeper."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("direct", F.lit(True))

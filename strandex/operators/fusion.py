@@ -63,6 +63,30 @@ def with_average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.join(ranks, F.col(column).eqNullSafe(F.col(value))).drop(value)
 
 
+def seed_consensus(ranked: DataFrame, top_k: int, seed: str = "seed", item: str = "vec_id") -> DataFrame:
+    """(seed, sources_seen, items): the first ``top_k`` of each seed by unweighted rank fusion, in order."""
+    fused = rrf(ranked, [seed, item])
+    first = ranked_by(fused, [seed], F.desc(F.round("score", 12)), "best_rank", item).where(F.col("rank") <= top_k)
+    lists = first.groupBy(seed).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item))), lambda x: x[item]).alias("items"))
+    return lists.join(ranked.groupBy(seed).agg(F.array_sort(F.collect_set("source")).alias("sources_seen")), seed)
+
+
+def recommended_weights(per_source: DataFrame) -> DataFrame:
+    """(source, weight) from (source, coverage, consensus, stability): their product, as a share of all sources'.
+
+    A source alone counts as in consensus with itself; where all products are 0, consensus is left out.
+    Sources are a handful.
+    """
+    facts = per_source.agg(F.count(F.lit(1)).alias("__n"), F.sum(F.greatest(F.lit(0.0), F.col("coverage") * F.col("consensus") * F.col("stability"))).alias("__sum"))
+    rows = per_source.crossJoin(F.broadcast(facts))
+    alone = (F.col("__n") == 1) & (F.col("coverage") > 0)
+    full = F.greatest(F.lit(0.0), F.col("coverage") * F.when(alone, 1.0).otherwise(F.col("consensus")) * F.col("stability"))
+    plain = F.greatest(F.lit(0.0), F.col("coverage") * F.col("stability"))
+    rows = rows.select("source", F.when((F.col("__sum") > 0) | alone, full).otherwise(plain).alias("__raw"))
+    total = rows.agg(F.sum("__raw").alias("__total"))
+    return rows.crossJoin(F.broadcast(total)).select("source", F.when(F.col("__total") > 0, F.col("__raw") / F.col("__total")).otherwise(0.0).alias("weight"))
+
+
 def agreement(ranked: DataFrame, k: int = 10, seed: str = "seed", item: str = "vec_id") -> DataFrame:
     """Per pair of sources: overlap and Jaccard of the first k, and rank correlation, averaged over seeds."""
     top = ranked.where(F.col("rank") <= k)

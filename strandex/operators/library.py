@@ -34,6 +34,11 @@ def token_search(tracks: DataFrame, query: str, columns=TEXT) -> DataFrame:
     return out
 
 
+def syncopated(tracks: DataFrame, genres: DataFrame, key: str = "track_id") -> DataFrame:
+    """Tracks with a genre that is flagged as syncopated; (key, syncopated 0 or 1) a genre."""
+    return tracks.join(genres.where("syncopated = 1").select(key).distinct(), key, "left_semi")
+
+
 def with_liked(tracks: DataFrame, likes: DataFrame) -> DataFrame:
     liked = likes.select("track_id").distinct().withColumn("liked", F.lit(True))
     return tracks.join(liked, "track_id", "left").withColumn("liked", F.coalesce("liked", F.lit(False)))

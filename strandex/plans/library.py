@@ -180,6 +180,12 @@ def library_page(spark, sf):
     return L.page(rows, L.library_order(), 50, 20).select("track_id", "artist", "title", "liked")
 
 
+@query("f8_syncopated", f"WITH {TRACKS} SELECT track_id, title FROM tracks WHERE track_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
+def syncopated_tracks(spark, sf):
+    genres = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("track_id"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).cast("int").alias("syncopated"))
+    return L.syncopated(tracks(spark, sf), genres).select("track_id", "title")
+
+
 @query("t5_keyset_page", f"WITH {TRACKS} SELECT track_id, title FROM tracks WHERE track_id > 100 ORDER BY track_id LIMIT 25")
 def keyset(spark, sf):
     return L.keyset_page(tracks(spark, sf), 100, 25).select("track_id", "title")

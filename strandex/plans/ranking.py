@@ -110,6 +110,20 @@ def source_coverage(spark, sf):
     return sources(spark, sf).groupBy("source").agg(F.count_distinct("seed").alias("seeds"), F.count(F.lit(1)).alias("candidates"), r6(F.avg("score")).alias("mean_score"))
 
 
+@query("a33_seed_consensus", f"WITH {SOURCES}, f AS (SELECT seed, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS s, min(rank) AS best FROM src GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(s, 12) DESC, best, vec_id) AS rank FROM f), n AS (SELECT seed, count(DISTINCT source) AS sources FROM src GROUP BY 1) SELECT seed, sources, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS items FROM r JOIN n USING (seed) WHERE rank <= 5 GROUP BY 1, 2")
+def seed_consensus(spark, sf):
+    c = fusion.seed_consensus(sources(spark, sf), 5)
+    return c.select("seed", F.size("sources_seen").cast("long").alias("sources"), F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+
+
+@query("a32_recommended_weights", f"WITH {SOURCES}, m AS (SELECT source, count(DISTINCT seed) / (SELECT count(DISTINCT seed) FROM src)::DOUBLE AS coverage, avg(CAST(rank <= 10 AS DOUBLE)) AS consensus, 1 - stddev_pop(score) AS stability FROM src GROUP BY 1), w AS (SELECT source, greatest(0, coverage * consensus * stability) AS raw FROM m) SELECT source, round(raw / sum(raw) OVER (), 6) AS weight FROM w")
+def recommended_weights(spark, sf):
+    s = sources(spark, sf)
+    m = s.groupBy("source").agg(F.count_distinct("seed").alias("n"), F.avg((F.col("rank") <= 10).cast("double")).alias("consensus"), (1 - F.stddev_pop("score")).alias("stability"))
+    facts = m.crossJoin(F.broadcast(s.agg(F.count_distinct("seed").alias("all")))).select("source", (F.col("n") / F.col("all")).alias("coverage"), "consensus", "stability")
+    return fusion.recommended_weights(facts).select("source", r6(F.col("weight")).alias("weight"))
+
+
 @query("a29_reciprocal_support", f"""WITH {SOURCES}, o AS (SELECT DISTINCT source AS other FROM src), n AS (SELECT seed, source, vec_id, other FROM src, o WHERE rank <= 10 AND source <> other),
 p AS (SELECT n.seed, n.source, n.vec_id, avg(coalesce(1.0::DOUBLE / h.rank, 0)) AS s FROM n LEFT JOIN src h ON h.seed = n.seed AND h.source = n.other AND h.vec_id = n.vec_id AND h.rank <= 10 GROUP BY 1, 2, 3) SELECT source, round(avg(s), 6) AS support FROM p GROUP BY 1""")
 def support(spark, sf):

@@ -26,6 +26,12 @@ def numeric_rules(spark, sf):
     return e.select("event_id", r6(X.clamp01(v / 50)).alias("clamped"), r6(X.normalise(v, F.lit(10.0), F.lit(50.0))).alias("scaled"), r6(X.numeric_similarity(v, F.col("user_id").cast("double"))).alias("similar"))
 
 
+@query("x2_x36_x39_vector_fields", "SELECT vec_id, round(CAST(embedding[3] AS DOUBLE), 6) AS third, CASE WHEN len(embedding) > 99 THEN 1.0 END::DOUBLE AS beyond, round(CASE WHEN embedding[1] + 0.1 BETWEEN -0.000001 AND 1.000001 THEN least(1, greatest(0, CAST(embedding[1] AS DOUBLE) + 0.1)) END, 6) AS inside, round(20 + least(1, greatest(0, CAST(embedding[2] AS DOUBLE))) * 280, 4) AS wide FROM embeddings")
+def vector_fields(spark, sf):
+    v = F.col("v")
+    return embeddings(spark, sf).select("vec_id", r6(X.component(v, 2)).alias("third"), X.component(v, 99).alias("beyond"), r6(X.unit_interval(X.component(v, 0) + 0.1)).alias("inside"), F.round(X.denormalise(X.component(v, 1), F.lit(20.0), F.lit(300.0)), 4).alias("wide"))
+
+
 @query("x12_x14_camelot", f"""WITH {FEATURES}, k AS (SELECT track_id, key, CAST(regexp_extract(key, '^(\\d+)', 1) AS INTEGER) AS n, right(key, 1) AS l FROM feat)
 SELECT track_id, key AS canonical, CASE WHEN key IS NULL THEN 0.55 WHEN key = '8A' THEN 1.0 WHEN l = 'A' AND (n - 8 + 24) % 12 IN (1, 11) THEN 0.95 WHEN n = 8 THEN 0.9 ELSE 0.2 END::DOUBLE AS score FROM k""")
 def camelot(spark, sf):
@@ -172,6 +178,18 @@ def keeper_safety(spark, sf):
     return dedup.safe_candidates(members.select("id", "group_id"), chosen, edges, "id")
 
 
+@query("a37_duplicate_statistics", f"{COMPONENTS}, k AS (SELECT group_id, arg_min(id, (-p_size, -price, id)) AS keeper FROM grp JOIN nm USING (id) GROUP BY 1), c AS (SELECT g.id, EXISTS (SELECT 1 FROM ed WHERE (ed.a = g.id AND ed.b = k.keeper) OR (ed.b = g.id AND ed.a = k.keeper)) AS safe FROM grp g JOIN k USING (group_id) WHERE g.id <> k.keeper), b AS (SELECT group_id, CASE WHEN min(score) >= 0.98 THEN 'high' WHEN min(score) >= 0.94 THEN 'medium' ELSE 'review' END AS confidence FROM ed JOIN grp ON ed.a = grp.id GROUP BY 1) SELECT (SELECT count(*) FROM c) AS candidate_count, (SELECT count(DISTINCT id) FROM c) AS duplicate_count, (SELECT count(*) FROM c WHERE safe) AS safe_count, (SELECT count(*) FROM c WHERE NOT safe) AS review_count, (SELECT count(*) FROM b WHERE confidence = 'high') AS high_groups, (SELECT count(*) FROM b WHERE confidence = 'medium') AS medium_groups, (SELECT count(*) FROM b WHERE confidence = 'review') AS review_groups")
+def duplicate_statistics(spark, sf):
+    edges = _edges(spark, sf).where("score >= 0.925")
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", F.col("p_retailprice").alias("price"))
+    members = dedup.groups(edges, p, "id").join(p, "id")
+    chosen = dedup.keepers(members, "id", -F.col("p_size"), -F.col("price"), F.col("id"))
+    safe = dedup.safe_candidates(members.select("id", "group_id"), chosen, edges, "id")
+    least = edges.join(members.select(F.col("id").alias("a"), "group_id"), "a").groupBy("group_id").agg(F.min("score").alias("least"))
+    groups = least.select(F.when(F.col("least") >= 0.98, "high").when(F.col("least") >= 0.94, "medium").otherwise("review").alias("confidence"))
+    return dedup.report_statistics(safe, groups)
+
+
 @query("d23_w9_stratified_seeds", f"""WITH {FEATURES}, b AS (SELECT track_id, CASE WHEN bpm IS NULL THEN 'bpm_unknown' ELSE 'bpm_' || (floor(bpm / 10) * 10)::INTEGER END || CASE WHEN energy < 0.33 THEN 'l' WHEN energy < 0.66 THEN 'm' ELSE 'h' END AS bucket FROM feat WHERE energy IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY substr(sha256('123:' || track_id), 1, 16), track_id) AS rn FROM b) SELECT track_id, bucket, rn FROM r ORDER BY rn, bucket, track_id LIMIT 50""")
 def stratified(spark, sf):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import expr as X
+from strandex.functions import python
 from strandex.operators import ann, dedup, fusion, library, metrics, ranks, tempo, transition, vectors
 from strandex.operators.graph import connected_components
 from strandex.plans import ranking, studies
@@ -256,3 +257,21 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
         score = {i: sum(a * b for a, b in zip(unit[i], unit[q], strict=True)) for i in data if i != q}
         want = sorted(score, key=lambda i: (-round(score[i], 9), i))[:7]
         assert [i for _, i, _ in sorted(found)] == want
+
+
+def test_python_rules(spark):
+    rows = spark.createDataFrame([("Ｂjörk – Ｏne", 2.675, 7), (None, None, None)], "name string, seconds double, id long")
+    got = rows.select(python.identity_text("name").alias("n"), python.stored_duration("seconds").alias("d"), python.tie_breaker(F.lit("groove"), F.lit("low"), F.col("id"), F.lit(3)).alias("t")).collect()
+    import hashlib
+
+    assert (got[0].n, got[0].d) == ("björkone".replace("̈", ""), 2.67) and int(got[0].t) == int.from_bytes(hashlib.blake2b(b"groove:low:3:7", digest_size=8).digest(), "big")
+    assert (got[1].n, got[1].d) == (None, None)
+
+
+def test_recommended_weights(spark):
+    def weights(*rows):
+        return {r.source: r.weight for r in fusion.recommended_weights(spark.createDataFrame(rows, "source string, coverage double, consensus double, stability double")).collect()}
+
+    assert weights(("a", 1.0, 0.5, 1.0), ("b", 0.5, 0.5, 1.0)) == {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3)}
+    assert weights(("a", 1.0, 0.0, 1.0), ("b", 0.5, 0.0, 0.5)) == {"a": pytest.approx(0.8), "b": pytest.approx(0.2)}
+    assert weights(("a", 0.4, 0.0, 1.0)) == {"a": 1.0} and weights(("a", 0.0, 0.0, 1.0)) == {"a": 0.0}
