@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.functions.expr import score_bucket, tie_token
+from strandex.runtime import stage
 
 MODES = ("uncertainty", "hard_negative", "diversity", "disagreement", "high_impact_unlabeled")
 
@@ -72,12 +75,27 @@ def score_with(model, rows: DataFrame, key: str, *keep: str) -> DataFrame:
     return p.select(key, "score", F.greatest("score", 1 - F.col("score")).alias("confidence"), (F.col("score") >= 0.5).cast("int").alias("predicted"), score_bucket(F.col("score")).alias("bucket"), *keep)
 
 
-def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """One row: accuracy, precision, recall and macro F1 of a binary prediction."""
+def cross_validated(rows: DataFrame, columns: list[str], label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(key, score, confidence, predicted, bucket, label, fold): each row scored by the model of the other folds."""
+    dealt = stage(folds(rows, label, key, k, seed), "folds")
+    scored = [score_with(train_logistic(dealt.where(F.col("fold") != i), columns, label), dealt.where(F.col("fold") == i), key, label, "fold") for i in range(k)]
+    return reduce(DataFrame.unionAll, scored)
+
+
+def fold_summary(scored: DataFrame, label: str) -> DataFrame:
+    """(metric, mean, std) of the folds' metrics; the deviation is that of the population."""
+    each = confusion(scored, label, "predicted", ["fold"])
+    names = ("accuracy", "precision", "recall", "macro_f1")
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("x")) for n in names])).alias("m")).select("m.*")
+    return long.groupBy("metric").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count(F.lit(1)).alias("folds"))
+
+
+def confusion(rows: DataFrame, truth: str, predicted: str, by: list[str] = ()) -> DataFrame:
+    """One row (or one a group): accuracy, precision, recall and macro F1 of a binary prediction."""
     t, p = F.col(truth), F.col(predicted)
     c = lambda cond: F.count(F.when(cond, 1)).cast("double")
-    s = rows.agg(c((t == 1) & (p == 1)).alias("tp"), c((t == 0) & (p == 1)).alias("fp"), c((t == 1) & (p == 0)).alias("fn"), c((t == 0) & (p == 0)).alias("tn"))
+    s = rows.groupBy(*by).agg(c((t == 1) & (p == 1)).alias("tp"), c((t == 0) & (p == 1)).alias("fp"), c((t == 1) & (p == 0)).alias("fn"), c((t == 0) & (p == 0)).alias("tn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     f1 = lambda a, b, d: ratio(2 * a, 2 * a + b + d)
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return s.select(((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("macro_f1"))
+    return s.select(*by, ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("macro_f1"))

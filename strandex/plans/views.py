@@ -84,16 +84,16 @@ feat AS (SELECT p_partkey AS track_id, CASE WHEN p_partkey % 5 <> 0 THEN 70.0::D
 
 
 def sessions(spark, sf):
-    """Ranked results per customer, at most 25, with a rating from 0 to 3."""
+    """Ranked results per customer, with a rating from 0 to 3."""
     o = read(spark, sf, "orders")
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     pr = F.col("o_orderpriority")
     rating = F.when(pr == "1-URGENT", 3).when(pr == "2-HIGH", 2).when(pr == "3-MEDIUM", 1).otherwise(0)
-    return o.withColumn("rank", F.row_number().over(w)).where("rank <= 25").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("item_id"), "rank", rating.alias("rel"), F.col("o_orderstatus").alias("mode"), F.col("o_totalprice").alias("total"))
+    return o.withColumn("rank", F.row_number().over(w)).select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("item_id"), "rank", rating.alias("rel"), F.col("o_orderstatus").alias("mode"), F.col("o_totalprice").alias("total"))
 
 
 SESSIONS = """sess AS (SELECT o_custkey AS session_id, o_orderkey AS item_id, rank, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 1 ELSE 0 END AS rel, o_orderstatus AS mode, o_totalprice AS total
- FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 25)"""
+ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders))"""
 
 
 def predictions(spark, sf):

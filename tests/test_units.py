@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandex.functions import expr as X
 from strandex.functions import python
-from strandex.operators import ann, dedup, fusion, library, metrics, ranks, tempo, transition, vectors
+from strandex.operators import ann, classifiers, dedup, fusion, library, metrics, ranks, tempo, transition, vectors
 from strandex.operators.graph import connected_components
 from strandex.plans import ranking, studies
 from strandex.sources import tables
@@ -96,6 +96,20 @@ def test_every_document_is_scored(spark):
     assert {r.fold for r in rows} == {None, 0, 1, 2, 3, 4}
 
 
+def test_folds_are_each_validated_by_the_others(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, float(x), int(x + rng.normal() > 0)) for i, x in enumerate(rng.normal(size=200))], "id long, x double, y int")
+    scored = classifiers.cross_validated(rows, ["x"], "y", "id")
+    kept = scored.collect()
+    assert sorted(r.id for r in kept) == list(range(200)) and {r.fold for r in kept} == {0, 1, 2, 3, 4}
+    got = {r.metric: (r["mean"], r["std"]) for r in classifiers.fold_summary(scored, "y").collect()}
+    accuracy = [np.mean([r.predicted == r.y for r in kept if r.fold == f]) for f in range(5)]
+    recall = [np.mean([r.predicted for r in kept if r.fold == f and r.y]) for f in range(5)]
+    assert got["accuracy"] == pytest.approx((np.mean(accuracy), np.std(accuracy))) and got["recall"] == pytest.approx((np.mean(recall), np.std(recall))) and got["accuracy"][0] > 0.6
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (5, 5), (3, 4), (4, 4)] + [(i, i + 1) for i in range(100, 160)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
