@@ -23,6 +23,7 @@ class Preset:
     strict_ratio: float
 
 
+# fixed values: thresholds of the presets
 PRESETS = {
     "safe": Preset(0.965, 0.985, 2, 0.01, 0.98, 0.01),
     "balanced": Preset(0.95, 0.97, 5, 0.025, 0.97, 0.025),

@@ -8,7 +8,7 @@ from strandex.functions import expr as X
 from strandex.operators import ann, classifiers, quality
 from strandex.plans.base import registrar
 from strandex.plans.views import CLASSIFIER, FEATURES, TRACKS, classifier_scores, embeddings, features, r6, read, tracks
-from strandex.runtime import shared_dir
+from strandex.runtime import shared_path
 from strandex.streaming import events as streams
 
 QUERIES, ORACLES, query = registrar()
@@ -111,7 +111,7 @@ def ann_recall(spark, sf):
     """Every vector is indexed; queries are the vectors whose id is divisible by 50."""
     items = embeddings(spark, sf)
     spec = ann.IndexSpec(64)
-    path = f"{shared_dir(spark)}/strandex-index/{ann.snapshot(items).replace(':', '_')}"
+    path = shared_path(spark, "index")
     ann.build(items, spec, path)
     index, spec = ann.load(items, path)
     queries = items.where("vec_id % 50 = 0")
