@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from strandex.functions.expr import weighted_mean_available
 from strandex.operators.graph import connected_components
 from strandex.operators.vectors import dot
+from strandex.runtime import stage
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,87 @@ def band_pairs(rows: DataFrame, key: str, value: str, width: float, group: list[
     return a.join(b, [*group, "bin"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= width)).select("a", "b", *group, "va", "vb")
 
 
+CHUNK = 1024  # ids a row
+LIGHT = 64  # pairs a row, up to which they are made where the row lies
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+
+
+def _same(same: list[str], other: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{other}.{c}")) for c in same])
+
+
+def item_classes(rows: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """(*same, first, last): items that agree in all columns ``same``, and their smallest and largest key."""
+    return rows.where(F.col(key).isNotNull()).groupBy(*same).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def class_chunks(rows: DataFrame, key: str, same: list[str], most: int = CHUNK) -> DataFrame:
+    """(*same, chunk, ids): items that agree in all columns ``same``; a class of more than ``most`` is dealt into several rows."""
+    rows = rows.where(F.col(key).isNotNull()).select(key, *same)
+    large = rows.groupBy(*same).agg(F.ceil(F.count(F.lit(1)) / most).alias("pieces")).where("pieces > 1").select(F.struct(*same).alias("own"), "pieces")
+    dealt = rows.join(large, _same(same, "own"), "left")
+    chunk = F.coalesce(F.pmod(F.xxhash64(key), F.col("pieces")), F.lit(0))
+    return dealt.groupBy(*same, chunk.alias("chunk")).agg(F.collect_list(key).alias("ids"))
+
+
+def class_pairs(classes: DataFrame, on: list[str], unique: list[str], value: str | None = None, width: float = 0.0) -> DataFrame:
+    """Pairs (x, y) of rows that agree in ``on``, each once and each row with itself; with ``value``, those that differ by ``width`` at most.
+
+    ``unique`` tells rows apart.
+    """
+    row, keys = F.struct(*classes.columns), list(on)
+    a, b = classes.select(*on, row.alias("x")), classes.select(*on, row.alias("y"))
+    if value is not None:
+        at = lambda side: F.floor(F.col(f"{side}.{value}") / width)
+        a, b = a.where(F.col(f"x.{value}").isNotNull()).withColumn("bin", at("x")), b.where(F.col(f"y.{value}").isNotNull())
+        b, keys = b.withColumn("bin", F.explode(F.array(at("y") - 1, at("y"), at("y") + 1))), [*on, "bin"]
+    order = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in unique])
+    j = a.repartition(_tasks(a), *keys).join(b.hint("merge"), keys).where(order("x") <= order("y"))
+    return (j if value is None else j.where(F.abs(F.col(f"x.{value}") - F.col(f"y.{value}")) <= width)).select("x", "y")
+
+
+def item_pairs(pairs: DataFrame, *keep: Column) -> DataFrame:
+    """(a, b, *keep): the pairs a < b of items of two chunks, from pairs (x, y) of :func:`class_chunks`.
+
+    What depends on the classes is worked out once a pair of chunks, not once a pair of items. Rows that
+    make many pairs are spread over the tasks first.
+    """
+    within = F.col("x") == F.col("y")
+    small = pairs.select(F.col("x.ids").alias("left"), F.col("y.ids").alias("right"), F.coalesce(within, F.lit(False)).alias("within"), *keep)
+    names = small.columns[3:]
+    many = F.size("left") * F.size("right")
+
+    def expand(rows: DataFrame) -> DataFrame:
+        out = rows.select(F.explode("left").alias("i"), "right", "within", *names).select("i", F.explode("right").alias("j"), "within", *names)
+        return out.where((F.col("i") < F.col("j")) | (~F.col("within") & (F.col("i") > F.col("j")))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), *names)
+
+    return expand(small.where(many <= LIGHT)).unionAll(expand(small.where(many > LIGHT).repartition(_tasks(pairs), "left", "right")))
+
+
+def linked_classes(pairs: DataFrame) -> DataFrame:
+    """Those pairs (x, y) of :func:`item_classes` that hold two different items."""
+    return pairs.where(F.least("x.first", "y.first") < F.greatest("x.last", "y.last"))
+
+
+def class_groups(rows: DataFrame, key: str, same: list[str], links: DataFrame) -> DataFrame:
+    """(key, group_id) of the items in some group, named by the group's smallest item.
+
+    ``links`` has pairs (x, y) of classes whose items are all linked, a class of several items with itself
+    among them. Components are closed over classes; an item that is in several ties them together.
+    """
+    linked = links.select(F.explode(F.array("x", "y")).alias("own")).distinct()
+    members = stage(rows.join(linked, _same(same, "own")).select(key, F.col("own.first").alias("first")).distinct(), "members")
+    shared = members.groupBy(key).agg(F.collect_set("first").alias("all")).where(F.size("all") > 1)
+    ties = shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    closed = connected_components(links.select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).unionAll(ties), "a", "b")
+    named = members.join(closed, F.col("first") == F.col("node"), "left")
+    return named.groupBy(key).agg(F.min(F.coalesce("component", "first")).alias("group_id"))
+
+
 def hyperplane(dim: int, plane: int) -> list[float]:
     """A fixed direction per number, from a sine rule, so that every run draws the same planes."""
     return [math.sin(12.9898 * (plane + 1) + 78.233 * (i + 1) * (plane + 1)) for i in range(dim)]
@@ -103,3 +186,15 @@ def safe_candidates(members: DataFrame, chosen: DataFrame, edges: DataFrame, key
     j = members.join(chosen.select("group_id", "keeper"), "group_id").where(F.col(key) != F.col("keeper"))
     j = j.join(both, (F.col(key) == F.col("a")) & (F.col("keeper") == F.col("b")), "left")
     return j.select("group_id", key, "keeper", F.coalesce("direct", F.lit(False)).alias("safe"))
+
+
+def scored_candidates(members: DataFrame, chosen: DataFrame, key: str, direct) -> DataFrame:
+    """:func:`safe_candidates` without an edge table: ``direct(x, y)`` tells whether two rows of ``members`` have an edge.
+
+    One row an item; where rows repeat a key, any of them will do.
+    """
+    row = F.struct(*[c for c in members.columns if c != "group_id"])
+    own = members.select("group_id", row.alias("x")).join(chosen.select("group_id", "keeper"), "group_id").where(F.col(f"x.{key}") != F.col("keeper"))
+    kept = members.select(F.col(key).alias("keeper"), row.alias("y")).join(chosen.select("keeper"), "keeper", "left_semi")
+    safe = F.max(F.coalesce(direct("x", "y"), F.lit(False)))
+    return own.join(kept, "keeper").groupBy("group_id", F.col(f"x.{key}").alias(key), "keeper").agg(safe.alias("safe"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandex.functions import expr as X
+from strandex.operators import dedup
 from strandex.operators import library as L
 from strandex.operators.ranks import numbered
 from strandex.plans.base import registrar
@@ -132,12 +133,15 @@ def current_sessions(spark, sf):
 
 @query("j21_match_scoring", "WITH s AS (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, 4 + CASE WHEN a.p_brand = b.p_brand THEN 4 ELSE 0 END + CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 1 ELSE 0 END AS points FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND a.p_partkey < b.p_partkey) SELECT *, CASE WHEN points >= 8 THEN 'high' ELSE 'medium' END AS confidence FROM s WHERE points >= 6")
 def match_scoring(spark, sf):
-    p = read(spark, sf, "part")
-    a, b = p.alias("a"), p.alias("b")
-    same = lambda c, n: F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), n).otherwise(0)
-    j = a.join(b, (F.lower("a.p_name") == F.lower("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    s = j.select(F.col("a.p_partkey").alias("left_id"), F.col("b.p_partkey").alias("right_id"), (4 + same("p_brand", 4) + same("p_type", 1) + same("p_size", 1)).alias("points"))
-    return s.where("points >= 6").withColumn("confidence", F.when(F.col("points") >= 8, "high").otherwise("medium"))
+    # 6 points take the brand, or the type and the size
+    fields = ["name", "p_brand", "p_type", "p_size"]
+    chunks = dedup.class_chunks(read(spark, sf, "part").withColumn("name", F.lower("p_name")), "p_partkey", fields)
+    alike = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(False))
+    pairs = lambda on: dedup.class_pairs(chunks, on, [*fields, "chunk"])
+    j = pairs(["name", "p_brand"]).unionAll(pairs(["name", "p_type", "p_size"]).where(~alike("p_brand")))
+    s = j.withColumn("points", 4 + sum(F.when(alike(c), n).otherwise(0) for c, n in (("p_brand", 4), ("p_type", 1), ("p_size", 1))))
+    out = dedup.item_pairs(s, F.col("points"), F.when(F.col("points") >= 8, "high").otherwise("medium").alias("confidence"))
+    return out.withColumnsRenamed({"a": "left_id", "b": "right_id"})
 
 
 @query("a1_a6_table_counts", "SELECT 'part' AS name, count(*) AS n FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
