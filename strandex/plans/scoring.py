@@ -12,6 +12,7 @@ from strandex.operators.graph import connected_components
 from strandex.operators.vectors import dot
 from strandex.plans.base import registrar
 from strandex.plans.views import FEATURES, embeddings, features, r6, read
+from strandex.runtime import stage
 
 QUERIES, ORACLES, query = registrar()
 
@@ -154,9 +155,41 @@ def _edges(spark, sf):
     return j.select("a", "b", dedup.pair_score(terms).alias("score"))
 
 
+SAME = ["name", "p_brand", "p_size", "price"]
+
+
+def _items(spark, sf):
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), "p_brand", "p_size", F.col("p_retailprice").alias("price"))
+
+
+def _pair_score(x, y):
+    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    brand, other = of("p_brand")
+    return dedup.pair_score([(F.when(brand == other, 1.0).otherwise(0.0), 0.43), (dedup.gap_similarity(*of("p_size"), 8.0), 0.14), (dedup.gap_similarity(*of("price"), 24.0), 0.05)])
+
+
+def _links(p):
+    """(x, y, score): linked pairs of classes of equal items. Without the brand's share no score reaches 0.925, so brands are equal."""
+    pairs = dedup.class_pairs(dedup.item_classes(p, "id", SAME), ["name", "p_brand"], SAME, "price", 15.0)
+    return stage(dedup.linked_classes(pairs).withColumn("score", _pair_score("x", "y")).where("score >= 0.925"), "links")
+
+
+def _direct(x, y):
+    near = F.abs(F.col(f"{x}.price") - F.col(f"{y}.price")) <= 15.0
+    return (F.col(f"{x}.name") == F.col(f"{y}.name")) & near & (_pair_score(x, y) >= 0.925)
+
+
+def _candidates(p, groups):
+    members = groups.join(p, "id")
+    chosen = dedup.keepers(members, "id", -F.col("p_size"), -F.col("price"), F.col("id"))
+    return dedup.scored_candidates(members, chosen, "id", _direct)
+
+
 @query("n4_n10_pair_scores", f"WITH {DUPS} SELECT a, b, round(score, 6) AS score, CASE WHEN score >= 0.98 THEN 'high' WHEN score >= 0.94 THEN 'medium' ELSE 'low' END AS confidence FROM e")
 def pair_scores(spark, sf):
-    return _edges(spark, sf).select("a", "b", r6(F.col("score")).alias("score"), dedup.confidence(F.col("score"), dedup.PRESETS["aggressive"].min_score).alias("confidence"))
+    chunks = dedup.class_chunks(_items(spark, sf), "id", SAME)
+    pairs = dedup.class_pairs(chunks, ["name"], [*SAME, "chunk"], "price", 15.0).withColumn("score", _pair_score("x", "y"))
+    return dedup.item_pairs(pairs, r6(F.col("score")).alias("score"), dedup.confidence(F.col("score"), dedup.PRESETS["aggressive"].min_score).alias("confidence"))
 
 
 COMPONENTS = f"""WITH RECURSIVE {DUPS}, both_ways AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach(node, root) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT w.b, r.root FROM reach r JOIN both_ways w ON r.node = w.a),
