@@ -198,8 +198,8 @@ grp AS (SELECT node AS id, min(root) AS group_id FROM reach GROUP BY 1)"""
 
 @query("u5_n8_groups", f"{COMPONENTS} SELECT id, group_id FROM grp")
 def duplicate_groups(spark, sf):
-    edges = _edges(spark, sf).where("score >= 0.925")
-    return connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+    p = _items(spark, sf)
+    return dedup.class_groups(p, "id", SAME, _links(p))
 
 
 @query("n9_n11_keepers", f"{COMPONENTS}, k AS (SELECT group_id, arg_min(id, (-p_size, -price, id)) AS keeper FROM grp JOIN nm USING (id) GROUP BY 1) SELECT g.group_id, g.id, k.keeper, EXISTS (SELECT 1 FROM ed WHERE (ed.a = g.id AND ed.b = k.keeper) OR (ed.b = g.id AND ed.a = k.keeper)) AS safe FROM grp g JOIN k USING (group_id) WHERE g.id <> k.keeper")
