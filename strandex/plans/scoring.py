@@ -204,11 +204,8 @@ def duplicate_groups(spark, sf):
 
 @query("n9_n11_keepers", f"{COMPONENTS}, k AS (SELECT group_id, arg_min(id, (-p_size, -price, id)) AS keeper FROM grp JOIN nm USING (id) GROUP BY 1) SELECT g.group_id, g.id, k.keeper, EXISTS (SELECT 1 FROM ed WHERE (ed.a = g.id AND ed.b = k.keeper) OR (ed.b = g.id AND ed.a = k.keeper)) AS safe FROM grp g JOIN k USING (group_id) WHERE g.id <> k.keeper")
 def keeper_safety(spark, sf):
-    edges = _edges(spark, sf).where("score >= 0.925")
-    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", F.col("p_retailprice").alias("price"))
-    members = dedup.groups(edges, p, "id").join(p, "id")
-    chosen = dedup.keepers(members, "id", -F.col("p_size"), -F.col("price"), F.col("id"))
-    return dedup.safe_candidates(members.select("id", "group_id"), chosen, edges, "id")
+    p = _items(spark, sf)
+    return _candidates(p, stage(dedup.class_groups(p, "id", SAME, _links(p)), "groups"))
 
 
 @query("a37_duplicate_statistics", f"{COMPONENTS}, k AS (SELECT group_id, arg_min(id, (-p_size, -price, id)) AS keeper FROM grp JOIN nm USING (id) GROUP BY 1), c AS (SELECT g.id, EXISTS (SELECT 1 FROM ed WHERE (ed.a = g.id AND ed.b = k.keeper) OR (ed.b = g.id AND ed.a = k.keeper)) AS safe FROM grp g JOIN k USING (group_id) WHERE g.id <> k.keeper), b AS (SELECT group_id, CASE WHEN min(score) >= 0.98 THEN 'high' WHEN min(score) >= 0.94 THEN 'medium' ELSE 'review' END AS confidence FROM ed JOIN grp ON ed.a = grp.id GROUP BY 1) SELECT (SELECT count(*) FROM c) AS candidate_count, (SELECT count(DISTINCT id) FROM c) AS duplicate_count, (SELECT count(*) FROM c WHERE safe) AS safe_count, (SELECT count(*) FROM c WHERE NOT safe) AS review_count, (SELECT count(*) FROM b WHERE confidence = 'high') AS high_groups, (SELECT count(*) FROM b WHERE confidence = 'medium') AS medium_groups, (SELECT count(*) FROM b WHERE confidence = 'review') AS review_groups")
