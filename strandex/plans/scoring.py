@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strandex.functions import expr as X
 from strandex.operators import dedup
 from strandex.operators import features as feat
-from strandex.operators.graph import connected_components
 from strandex.operators.vectors import dot
 from strandex.plans.base import registrar
 from strandex.plans.views import FEATURES, embeddings, features, r6, read
@@ -146,15 +145,6 @@ e AS (SELECT a.id AS a, b.id AS b, (CASE WHEN a.p_brand = b.p_brand THEN 1 ELSE
 ed AS (SELECT * FROM e WHERE score >= 0.925)"""
 
 
-def _edges(spark, sf):
-    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"), "p_brand", "p_size", F.col("p_retailprice").alias("price"))
-    pairs = dedup.band_pairs(p, "id", "price", 15.0, ["name"]).select("a", "b", "va", "vb")
-    side = lambda s: p.select(F.col("id").alias(s), F.col("p_brand").alias(f"brand_{s}"), F.col("p_size").alias(f"size_{s}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    terms = [(F.when(F.col("brand_a") == F.col("brand_b"), 1.0).otherwise(0.0), 0.43), (dedup.gap_similarity(F.col("size_a"), F.col("size_b"), 8.0), 0.14), (dedup.gap_similarity(F.col("va"), F.col("vb"), 24.0), 0.05)]
-    return j.select("a", "b", dedup.pair_score(terms).alias("score"))
-
-
 SAME = ["name", "p_brand", "p_size", "price"]
 
 
@@ -210,14 +200,12 @@ def keeper_safety(spark, sf):
 
 @query("a37_duplicate_statistics", f"{COMPONENTS}, k AS (SELECT group_id, arg_min(id, (-p_size, -price, id)) AS keeper FROM grp JOIN nm USING (id) GROUP BY 1), c AS (SELECT g.id, EXISTS (SELECT 1 FROM ed WHERE (ed.a = g.id AND ed.b = k.keeper) OR (ed.b = g.id AND ed.a = k.keeper)) AS safe FROM grp g JOIN k USING (group_id) WHERE g.id <> k.keeper), b AS (SELECT group_id, CASE WHEN min(score) >= 0.98 THEN 'high' WHEN min(score) >= 0.94 THEN 'medium' ELSE 'review' END AS confidence FROM ed JOIN grp ON ed.a = grp.id GROUP BY 1) SELECT (SELECT count(*) FROM c) AS candidate_count, (SELECT count(DISTINCT id) FROM c) AS duplicate_count, (SELECT count(*) FROM c WHERE safe) AS safe_count, (SELECT count(*) FROM c WHERE NOT safe) AS review_count, (SELECT count(*) FROM b WHERE confidence = 'high') AS high_groups, (SELECT count(*) FROM b WHERE confidence = 'medium') AS medium_groups, (SELECT count(*) FROM b WHERE confidence = 'review') AS review_groups")
 def duplicate_statistics(spark, sf):
-    edges = _edges(spark, sf).where("score >= 0.925")
-    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size", F.col("p_retailprice").alias("price"))
-    members = dedup.groups(edges, p, "id").join(p, "id")
-    chosen = dedup.keepers(members, "id", -F.col("p_size"), -F.col("price"), F.col("id"))
-    safe = dedup.safe_candidates(members.select("id", "group_id"), chosen, edges, "id")
-    least = edges.join(members.select(F.col("id").alias("a"), "group_id"), "a").groupBy("group_id").agg(F.min("score").alias("least"))
+    p = _items(spark, sf)
+    links = _links(p)
+    members = stage(dedup.class_groups(p, "id", SAME, links), "groups")
+    least = links.select(F.col("x.first").alias("id"), "score").join(members, "id").groupBy("group_id").agg(F.min("score").alias("least"))
     groups = least.select(F.when(F.col("least") >= 0.98, "high").when(F.col("least") >= 0.94, "medium").otherwise("review").alias("confidence"))
-    return dedup.report_statistics(safe, groups)
+    return dedup.report_statistics(_candidates(p, members), groups)
 
 
 @query("d23_w9_stratified_seeds", f"""WITH {FEATURES}, b AS (SELECT track_id, CASE WHEN bpm IS NULL THEN 'bpm_unknown' ELSE 'bpm_' || (floor(bpm / 10) * 10)::INTEGER END || CASE WHEN energy < 0.33 THEN 'l' WHEN energy < 0.66 THEN 'm' ELSE 'h' END AS bucket FROM feat WHERE energy IS NOT NULL),

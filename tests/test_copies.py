@@ -10,7 +10,7 @@ from strandex.plans import registry
 from tests.conftest import SF
 from tests.test_oracles import plain
 
-QUERIES = ["j21_match_scoring", "n4_n10_pair_scores", "n9_n11_keepers", "u5_n8_groups"]
+QUERIES = ["a37_duplicate_statistics", "j21_match_scoring", "n4_n10_pair_scores", "n9_n11_keepers", "u5_n8_groups"]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def crowded(spark, tmp_path_factory):
     return folders
 
 
-@pytest.mark.parametrize(("name", "kind", "rows"), [("j21_match_scoring", "brands", 60000), ("n4_n10_pair_scores", "pairs", 20000 * 19999 // 2), ("n9_n11_keepers", "groups", 59999), ("u5_n8_groups", "groups", 60000)])
+@pytest.mark.parametrize(("name", "kind", "rows"), [("a37_duplicate_statistics", "groups", 1), ("j21_match_scoring", "brands", 60000), ("n4_n10_pair_scores", "pairs", 20000 * 19999 // 2), ("n9_n11_keepers", "groups", 59999), ("u5_n8_groups", "groups", 60000)])
 def test_work_goes_with_the_result(name, kind, rows, spark, crowded):
     """Up to 1.8e9 pairs have the name in common; 60 s are not enough to go through them row by row in a task."""
     clock = threading.Timer(60, spark.sparkContext.cancelAllJobs)
