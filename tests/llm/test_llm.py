@@ -303,6 +303,35 @@ def test_lm_learns_from_all_documents(spark):
     assert all((a[name] == b[name]).all() for name in a)
 
 
+def test_lm_is_fitted_on_every_window(spark, monkeypatch):
+    """Far more windows than a shard takes: each goes into the steps as often as it occurs, in one pass."""
+    texts = [f"{'w' * (i % 23)}{i} " * (1 + i % 90) for i in range(400)] + ["same text " * 50] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = lm_score.make_classes(np.zeros(lm_score.VOCABULARY, np.int64), lm_score.subwords().starts_word())
+    want = collections.Counter()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 10:
+            stream = bytes([0]) + lm_score.class_streams(wordhash.words_of([t.encode()], lower=True), classes).classes.tobytes()
+            want.update(stream[i : i + lm_score.WIDTH + 1] for i in range(0, len(stream) - 1, lm_score.WIDTH))
+    counted = lm_score.count_pairs(docs, classes, "doc_id", "text").where("key < 0").collect()
+    assert {bytes(r.window): r.n for r in counted} == want
+    windows, times = [bytes(r.window) for r in counted], np.array([r.n for r in counted])
+    once = sum(times)
+    monkeypatch.setattr(lm_score, "SHARD", int(once))
+    taken = []
+    monkeypatch.setattr(lm_score, "gradient", lambda p, ids, goal, weight: taken.append((ids, goal, weight)) or (0.0, {}))
+    p = lm_score.init_params(np.ones((lm_score.CLASSES, lm_score.CLASSES)))
+    monkeypatch.setattr(lm_score, "STEPS", 40)
+    for round_ in range(lm_score.ROUNDS):
+        lm_score.train(p, {}, {}, windows, times, round_, (1, 0))
+    seen = collections.Counter()
+    for ids, goal, weight in taken:
+        for a, b, w in zip(ids, goal, weight, strict=True):
+            size = int(w.sum())
+            seen[bytes([a[0], *b[:size].tolist()])] += 1
+    assert seen == want
+
+
 # --- 3 audio ---------------------------------------------------------------------------------------
 
 
