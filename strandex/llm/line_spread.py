@@ -73,6 +73,8 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             out.append("\n".join(line for i, line in enumerate(value.split("\n")) if i not in drop))
         return pd.Series(out, dtype=object)
 
+    # else a filter on the cleaned text would run it twice in one stage, each with its own Python worker a core
+    without = without.asNondeterministic()
     same = F.col(f"left.{doc_id}").eqNullSafe(F.col(f"right.{ident}")) & (_row_key(F.col(f"left.{doc_id}"), F.col(f"left.{text}")) == F.col(f"right.{row}"))
     joined = docs.alias("left").join(taken.alias("right"), same, "left").drop(ident, row)
     # only texts that lose lines go through Python
