@@ -1083,3 +1083,30 @@ def test_words_of_a_chunk_fit_a_worker():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20e6
+
+
+def test_gradient_in_blocks_is_the_plain_one_in_little_memory():
+    import tracemalloc
+
+    rng, p = np.random.default_rng(3), toy_params(3)
+    shape = (64, lm_score.WIDTH)
+    ids, goal = (rng.zipf(1.3, shape) % lm_score.CLASSES for _ in range(2))
+    weight = (rng.random(shape) < 0.9).astype(np.float32)
+    h = lm_score.attend(p, ids)[0].reshape(-1, lm_score.DIM)
+    z = h @ p["out"] + p["pair"][ids.ravel()]
+    made, at, goals, each = lm_score.power(z.copy()), np.arange(ids.size), goal.ravel(), (weight / weight.sum()).ravel()
+    total = made.sum(axis=1, keepdims=True)
+    dz = lm_score.slope(made) / total
+    dz[at, goals] -= lm_score.slope(made[at, goals]) / made[at, goals]
+    dz *= each[:, None]
+    pair = np.zeros_like(p["pair"])
+    np.add.at(pair, ids.ravel(), dz)
+    loss, g = lm_score.gradient(p, ids, goal, weight)
+    assert loss == pytest.approx(float(-(np.log(made[at, goals] / total[:, 0]) * each).sum()), rel=1e-4)
+    for name, want in (("out", h.T @ dz), ("pair", pair)):
+        assert np.abs(g[name] - want).max() < 0.02 * np.abs(want).max()
+    tracemalloc.start()
+    lm_score.gradient(p, ids, goal, weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6
