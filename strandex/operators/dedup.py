@@ -89,10 +89,11 @@ def item_pairs(pairs: DataFrame, *keep: Column) -> DataFrame:
     """(a, b, *keep): the pairs a < b of items of two chunks, from pairs (x, y) of :func:`class_chunks`.
 
     What depends on the classes is worked out once a pair of chunks, not once a pair of items. Rows that
-    make many pairs are spread over the tasks first.
+    make many pairs are spread over the tasks first. A chunk is told by all its columns but ``ids``: the
+    two sides may be made apart, and a shuffle brings the ids in any order.
     """
-    within = F.col("x") == F.col("y")
-    small = pairs.select(F.col("x.ids").alias("left"), F.col("y.ids").alias("right"), F.coalesce(within, F.lit(False)).alias("within"), *keep)
+    within = reduce(lambda x, y: x & y, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in pairs.schema["x"].dataType.names if c != "ids"])
+    small = pairs.select(F.col("x.ids").alias("left"), F.col("y.ids").alias("right"), within.alias("within"), *keep)
     names = small.columns[3:]
     many = F.size("left") * F.size("right")
 

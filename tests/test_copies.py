@@ -61,6 +61,15 @@ def test_work_goes_with_the_result(name, kind, rows, spark, crowded):
         clock.cancel()
 
 
+def test_chunk_is_itself_in_any_order_of_ids(spark):
+    """The two sides of a pair are made apart, and a shuffle may bring a chunk's ids in another order on each."""
+    side = "struct<name: string, chunk: long, ids: array<long>>"
+    rows = [(("a", 0, [1, 2, 3]), ("a", 0, [3, 1, 2])), (("a", 0, [1, 2, 3]), ("a", 1, [0, 4])), ((None, 0, [7, 8]), (None, 0, [8, 7]))]
+    pairs = spark.createDataFrame(rows, f"x {side}, y {side}")
+    want = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (7, 8)]
+    assert sorted(map(tuple, dedup.item_pairs(pairs).collect())) == want
+
+
 def test_item_in_several_classes_ties_them(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (4, "c"), (5, "d"), (6, None)], "id long, name string")
     links = dedup.linked_classes(dedup.class_pairs(dedup.item_classes(rows, "id", ["name"]), ["name"], ["name"]))
