@@ -1110,3 +1110,23 @@ def test_gradient_in_blocks_is_the_plain_one_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5e6
+
+
+def test_steps_in_blocks_are_those_of_adam_and_limits_hold():
+    """Weights learned in blocks of a few are those of plain Adam; states far beyond the limits give a finite loss and gradients."""
+    rng = np.random.default_rng(5)
+    p, m, v = (rng.standard_normal(23).astype(np.float32), np.zeros(23, np.float32), np.zeros(23, np.float32))
+    want = [x.astype(float) for x in (p, m, v)]
+    for step in (1, 2, 3):
+        d = rng.standard_normal(23).astype(np.float32)
+        want[1] = 0.9 * want[1] + 0.1 * d
+        want[2] = 0.99 * want[2] + 0.01 * d.astype(float) ** 2
+        want[0] = want[0] - 0.02 * want[1] / (1 - 0.9**step) / (np.sqrt(want[2] / (1 - 0.99**step)) + 1e-7)
+        lm_score._descend(p, m, v, d, step, 0.02, most=5)
+    for got, plain in zip((p, m, v), want, strict=True):
+        assert got == pytest.approx(plain, rel=1e-4, abs=1e-6)
+    shape = (3, lm_score.WIDTH)
+    ids, goal = (rng.integers(0, lm_score.CLASSES, shape) for _ in range(2))
+    far = {k: x if k == "pair" else x * 40 for k, x in toy_params(4).items()}
+    loss, g = lm_score.gradient(far, ids, goal, np.ones(shape, np.float32))
+    assert math.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
